@@ -146,7 +146,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
     path = vocabulary or default_vocabulary()
     size = encoder(path).library.get_vocab_size()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = shards or partitions_for(source, 24 << 20)
+    n = shards or partitions_for(docs, 16 << 20)
 
     def blocks(batches):
         shard, number, held, n_held = TaskContext.get().partitionId(), 0, [], 0
@@ -163,11 +163,15 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
         for batch in batches:
             keys = batch.column(0)
             nulls, values = np.asarray(keys.is_null()), keys.fill_null(0).to_numpy(zero_copy_only=False)
-            for i, j, ids, bounds in encoder(path).runs(batch.column(1), 4 << 20):
-                held.append((values[i:j], nulls[i:j], ids, bounds))
-                n_held += len(ids)
-                if n_held >= block_ids:
-                    yield flush()
+            for i, j, ids, bounds in encoder(path).runs(batch.column(1)):
+                k = 0
+                while k < j - i:
+                    m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + block_ids - n_held, "right")) - 1)
+                    held.append((values[i + k : i + m], nulls[i + k : i + m], ids[bounds[k] : bounds[m]], bounds[k : m + 1]))
+                    n_held += int(bounds[m] - bounds[k])
+                    if m < j - i or n_held >= block_ids:
+                        yield flush()
+                    k = m
         if held:
             yield flush()
 

@@ -17,6 +17,7 @@ from foliowash.llm.bytewords import slices
 
 END_ID = 1
 _SEPARATOR = "\x01"
+_AT_ONCE = 40_000
 
 
 def default_vocabulary() -> str:
@@ -56,13 +57,17 @@ class Encoder:
             names = ["" if i in alone else x for i, x in enumerate(names)]
         else:
             alone = {}
-        joined = f" {_SEPARATOR} ".join([*names, ""])
-        flat = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        ends = np.flatnonzero(flat == self.separator[0])
-        if len(ends) != len(names):
-            raise RuntimeError("separators and chunks differ in number")
-        size = np.diff(ends, prepend=-1) - 1
-        flat = np.delete(flat, ends)
+        parts, sizes = [], []
+        for k in range(0, len(names), _AT_ONCE):  # the library's result is large, so not all at once
+            group = names[k : k + _AT_ONCE]
+            joined = f" {_SEPARATOR} ".join([*group, ""])
+            flat = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(flat == self.separator[0])
+            if len(ends) != len(group):
+                raise RuntimeError("separators and chunks differ in number")
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            parts.append(np.delete(flat, ends))
+        flat, size = np.concatenate(parts), np.concatenate(sizes)
         for i, ids in alone.items():
             at = int(size[:i].sum())
             flat = np.concatenate([flat[:at], np.array(ids, dtype=np.uint32), flat[at:]])
@@ -98,7 +103,7 @@ class Encoder:
             bounds = bounds + np.arange(len(bounds))
         return out, bounds
 
-    def runs(self, texts: pa.Array, limit: int = 16 << 20):
+    def runs(self, texts: pa.Array, limit: int = 8 << 20):
         """(from, to, ids, bounds) of row ranges of at most ``limit`` bytes of text, or one row."""
         for i, j in slices(texts, limit):
             yield i, j, *self.encode(texts[i:j])
