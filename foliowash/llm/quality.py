@@ -28,7 +28,7 @@ from foliowash.llm.bytewords import arrow_bytes, slices
 from foliowash.llm.common import fold, write_stage
 from foliowash.llm.toxicity import THRESHOLD, chosen_labels, platt
 
-MAX_DOCS = 1200
+MAX_DOCS = 3000
 CHUNK, OVERLAP, WIDTH, FILTERS, DIM = 512, 64, 4, 16, 8
 
 
@@ -98,18 +98,19 @@ def chunks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + CHUNK, offsets[1:][doc]), doc
 
 
-def _forward(net, x):
-    """x: (chunks, CHUNK) bytes. Pooled values and the places of the maxima."""
+def _forward(net, x, size):
+    """x: (chunks, CHUNK) bytes, of which the first ``size`` count. Pooled values and places of the maxima."""
     e = net["embed"][x]
     n = x.shape[1] - WIDTH + 1
     columns = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), n, WIDTH * DIM)
     value = columns @ net["filters"].reshape(WIDTH * DIM, FILTERS)
+    value[np.arange(n)[None, :] > (size - WIDTH)[:, None]] = -np.inf
     place = value.argmax(axis=1)
     top = np.take_along_axis(value, place[:, None, :], axis=1)[:, 0] + net["bias"]
     return np.maximum(top, 0), top, place
 
 
-def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, epochs: int = 6, chunks_each: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
+def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, epochs: int = 12, chunks_each: int = 4, batch: int = 64, rate: float = 0.01, short: float = 0.3, seed: int = 5) -> Network:
     """Adam on the weighted logistic loss of single chunks that bear their document's label."""
     rng = np.random.default_rng(seed)
     net = {
@@ -128,10 +129,14 @@ def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, epochs: int =
         order = rng.permutation(len(picks))
         for k in range(0, len(order), batch):
             rows = [picks[i] for i in order[k : k + batch]]
-            # a text shorter than a chunk is repeated to fill it
-            x = np.stack([np.resize(pool[d][a : a + CHUNK], CHUNK) for d, a in rows])
+            # some chunks are cut short, so that short texts and last chunks are learned too
+            cut = np.where(rng.random(len(rows)) < short, rng.integers(16, 200, len(rows)), CHUNK)
+            x, size = np.zeros((len(rows), CHUNK), np.uint8), np.empty(len(rows), np.int64)
+            for r, (d, a) in enumerate(rows):
+                piece = pool[d][a : a + int(cut[r])]
+                x[r, : len(piece)], size[r] = piece, len(piece)
             d = np.array([r[0] for r in rows])
-            hidden, top, place = _forward(net, x)
+            hidden, top, place = _forward(net, x, size)
             p = 1 / (1 + np.exp(-(hidden @ net["out"] + net["out_bias"])))
             g = ((p - label[d]) * weight[d] / len(d)).astype(np.float32)
             grad = {"out": hidden.T @ g + 1e-4 * net["out"], "out_bias": np.array([g.sum()], np.float32)}
