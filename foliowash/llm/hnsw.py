@@ -172,20 +172,31 @@ class Graph:
     def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(row of q, node) of all found with a cosine of at least the threshold, verified in double precision.
 
-        A query whose whole beam consists of links is searched again with twice the beam.
+        A query whose whole beam consists of links is searched again with twice the beam. Nodes that none
+        of their nearest neighbours links back to are hard to reach, so all queries look at them.
         """
+        links = self.layers[0]
+        near = links[:, : min(3, links.shape[1])]
+        back = (links[np.maximum(near, 0)] == np.arange(len(links))[:, None, None]).any(axis=2) & (near >= 0)
+        loose = ~back.any(axis=1)
+        hard = np.flatnonzero(loose)
         q32, todo, got_q, got_n = q.astype(np.float32), np.arange(len(q)), [], []
         while len(todo):
             wide = min(beam, len(self.x))
             block = max(1, min(256, (1 << 21) // max(1, wide * 64)))
             ids, sims = self.search(q32[todo], wide, block=block)
             full = (sims[:, -1] >= threshold - 1e-4) & (wide < len(self.x))
-            i, c = np.nonzero((sims >= threshold - 1e-4) & ~full[:, None] & (ids >= 0))
+            i, c = np.nonzero((sims >= threshold - 1e-4) & ~full[:, None] & (ids >= 0) & ~loose[np.maximum(ids, 0)])
             node, row = ids[i, c], todo[i]
             true = dots(q[row], self.x[node]) >= threshold
             got_q.append(row[true])
             got_n.append(node[true])
             todo, beam = todo[full], beam * 2
+        for a in range(0, len(q) if len(hard) else 0, 512):
+            i, c = np.nonzero(q32[a : a + 512] @ self.x32[hard].T >= threshold - 1e-4)
+            true = dots(q[a + i], self.x[hard[c]]) >= threshold
+            got_q.append(a + i[true])
+            got_n.append(hard[c[true]])
         return (np.concatenate(got_q), np.concatenate(got_n)) if got_q else (np.empty(0, np.int64),) * 2
 
     def audited(self, q: np.ndarray, threshold: float, beam: int = _BEAM, audits: int = AUDITS, least: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
