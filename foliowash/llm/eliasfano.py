@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_SAMPLE = 64
+_SAMPLE = 8  # words of high bits from one count of zeros to the next
 _IN_BYTE = np.full((256, 8), 8, dtype=np.uint8)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
@@ -46,7 +46,8 @@ class EliasFano:
         bits = np.zeros(-(-(n + buckets + 1) // 64) * 64, dtype=np.uint8)
         bits[top + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
-        return cls(n, width, low, high, np.flatnonzero(bits == 0)[::_SAMPLE].astype(np.int64))
+        inside = 64 - np.bitwise_count(high).astype(np.int64)
+        return cls(n, width, low, high, (np.cumsum(inside) - inside)[::_SAMPLE])
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.width], np.int64), self.low, self.high, self.zeros]
@@ -67,9 +68,9 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits."""
-        start = self.zeros[k // _SAMPLE]
-        left, word = k % _SAMPLE, start >> 6
-        part = ~self.high[word] & ~((np.uint64(1) << (start & 63).astype(np.uint64)) - np.uint64(1))
+        part_of = np.searchsorted(self.zeros, k, "right") - 1
+        left, word = k - self.zeros[part_of], part_of * _SAMPLE
+        part = ~self.high[word]
         n = np.bitwise_count(part).astype(np.int64)
         todo = np.flatnonzero(n <= left)
         while len(todo):

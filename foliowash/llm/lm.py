@@ -35,7 +35,7 @@ from foliowash.llm.bytewords import arrow_bytes, slices, words_of
 from foliowash.llm.common import fold, partitions_for, write_stage
 from foliowash.llm.eliasfano import EliasFano
 
-BLOCK_BYTES, LEAST, DISCOUNT = 24 << 20, 2, 0.75
+BLOCK_BYTES, LEAST, DISCOUNT = 12 << 20, 2, 0.75
 _START, _END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC6A4A7935BD1E995)
 _BITS = 40
 _STEPS, _PER_STEP = 254, 8 / 254  # 8-bit codes: log10 from 0 to -8; 255: not in the trie
@@ -249,7 +249,7 @@ def score(table: DataFrame, answered: DataFrame, n_shards: int) -> DataFrame:
 
 def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, least: int = LEAST) -> DataFrame:
     """Learns from documents outside the held-out fold and scores all."""
-    n_shards = partitions_for(docs, 16 << 20)
+    n_shards = partitions_for(docs, 8 << 20)
     marked = docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) != held).alias("train"))
     table = write_stage(blocks(marked), "blocks")
     answered = write_stage(answers(requests(table, n_shards), least), "answers")
