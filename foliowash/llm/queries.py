@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowash.llm import hnsw, lm, mixing, neighbours, packing, quality, repair, simhash, toxicity
+from foliowash.llm import hnsw, linededup, lm, mixing, neighbours, packing, quality, repair, simhash, toxicity
 from foliowash.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents")))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_binary": op8_token_binary,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliowash.llm.bytewords import slices, spaced, words
@@ -202,3 +202,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERROR
     joined = components(links(classes, errors))
     of = classes.join(joined, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, errors: int = 6) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id
+    stays, once if that row is repeated. Rows with a null doc_id take no part and stay."""
+    found = write_stage(near_duplicates(docs, shingle, errors), "components")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_times"))
+    kept = write_stage(kept, "kept")
+    known = F.col("doc_id").isNotNull()
+    out = docs.where(known).join(kept, F.col("doc_id") == F.col("_kept_id"))
+    if kept.where("_times > 1").limit(1).count():
+        first = Window.partitionBy("_kept_id").orderBy(F.xxhash64("text"))
+        out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return out.select(*docs.columns).unionByName(docs.where(~known))
