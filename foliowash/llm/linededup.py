@@ -10,7 +10,7 @@ more to it, whether or not that earlier line stays itself.
 3. Classes meet on the tokens of their prefixes (a pair over the threshold shares one). Length and
    positional filters, and the bound that a 64-bit parity sketch gives on the symmetric difference, drop
    pairs that can't reach it; the others are verified on their whole token sets.
-   Each class is first compared with the first and the last few classes before it under each prefix token,
+   Each class is first compared with the likeliest of the last few classes before it under its prefix tokens,
    which settles groups of near copies in linear time; only classes that match none of those are joined
    with all earlier ones. So no group's pairs are all made, and none is lost.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import release, write_stage
+from foliowash.llm.common import drop_stage, write_stage
 
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
 _CELLS = 1 << 16
@@ -98,20 +98,22 @@ def _verify(pairs: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
     table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
     k = at("doc_id", "line_no")
     listed = F.shiftrightunsigned(F.get(table, F.shiftrightunsigned(k, 6).cast("int")), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))) != 0
-    tokens = write_stage(_lines(docs).where(listed).select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys")).dropDuplicates(["doc_id", "line_no"]), "tokens")
+    tokens = write_stage(_lines(docs).where(listed).select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys")), "tokens")
     later = pairs.join(tokens, _place())
     both = later.join(tokens.select(F.col("doc_id").alias("a_doc_id"), F.col("line_no").alias("a_line_no"), F.col("keys").alias("a_keys")), _place("a_"))
     shared = F.size(F.array_intersect("keys", "a_keys"))
     t, u = THRESHOLD
-    return both.where(shared * (t + u) >= (F.size("keys") + F.size("a_keys")) * t).select("doc_id", "line_no").distinct()
+    out = write_stage(both.where(shared * (t + u) >= (F.size("keys") + F.size("a_keys")) * t).select("doc_id", "line_no").distinct(), "matched")
+    drop_stage(tokens)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier one removes; line numbers from 0."""
-    spark = docs.sparkSession
     lines = _lines(docs)
     rarity = _rarity(lines)
-    keyed = lines.select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys"))
+    # explode keeps the optimizer from computing the keys anew for each column made of them
+    keyed = lines.select("doc_id", "line_no", F.explode(F.array(_keys(F.col("line"), rarity))).alias("keys"))
     n = F.size("keys")
     t, u = THRESHOLD
     prefix = n - F.floor((n * t + u - 1) / u).cast("int") + 1
@@ -122,26 +124,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     copies = write_stage(keyed.select("doc_id", "line_no").distinct().join(first, _place(), "left_anti"), "exact_copies")
     # sets of fewer than 4 tokens can only match equal ones
     classes = write_stage(keyed.where("n >= 4").join(first, _place(), "left_semi").select("doc_id", "line_no", "n", "b", "prefix"), "classes")
-    release(spark)
+    drop_stage(keyed, first)
 
     def postings(of: DataFrame) -> DataFrame:
         return of.select("doc_id", "line_no", "n", "b", F.posexplode("prefix").alias("p", "token"))
 
     order = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    own = F.struct("doc_id", "line_no", "n", "b", "p")
-    seen = postings(classes).select("*", F.first(own).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a0"), *[F.lag(own, k).over(order).alias(f"a{k}") for k in range(1, _NEAR + 1)])
-    other = lambda k: F.when(_may_match(F.col("n"), F.col(f"a{k}.n"), F.col("b"), F.col(f"a{k}.b"), F.col("p"), F.col(f"a{k}.p")) & (F.struct("doc_id", "line_no") != F.struct(f"a{k}.doc_id", f"a{k}.line_no")), F.struct(F.col(f"a{k}.doc_id").alias("a_doc_id"), F.col(f"a{k}.line_no").alias("a_line_no")))
-    near = seen.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*[other(k) for k in range(_NEAR + 1)]))).alias("a")).select("doc_id", "line_no", "a.*").distinct()
+    fields = ("doc_id", "line_no", "n", "b", "p")
+    seen = postings(classes).select("*", *[F.lag(c, k).over(order).alias(f"{c}{k}") for k in range(1, _NEAR + 1) for c in fields])
+    other = lambda k: F.when(_may_match(F.col("n"), F.col(f"n{k}"), F.col("b"), F.col(f"b{k}"), F.col("p"), F.col(f"p{k}")) & ((F.col("doc_id") != F.col(f"doc_id{k}")) | (F.col("line_no") != F.col(f"line_no{k}"))), F.struct(F.bit_count(F.col("b").bitwiseXOR(F.col(f"b{k}"))).alias("bits"), F.col(f"doc_id{k}").alias("a_doc_id"), F.col(f"line_no{k}").alias("a_line_no")))
+    near = seen.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*[other(k) for k in range(1, _NEAR + 1)]))).alias("a")).groupBy("doc_id", "line_no").agg(F.min("a").alias("a")).select("doc_id", "line_no", "a.a_doc_id", "a.a_line_no")
     near = write_stage(near, "near_pairs")
-    settled = write_stage(_verify(near, docs, rarity), "settled")
-    release(spark)
-    rest = postings(classes.join(settled, _place(), "left_anti")).select(*[F.col(c).alias(f"l_{c}") for c in ("doc_id", "line_no", "n", "b", "p", "token")])
+    settled = _verify(near, docs, rarity)
+    marked = classes.join(settled.withColumn("done", F.lit(1)), _place(), "left").select("doc_id", "line_no", "n", "b", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    every = marked.select("doc_id", "line_no", "n", "b", "done", F.posexplode("prefix").alias("p", "token"))
+    later = every.select(*[F.col(c).alias(f"l_{c}") for c in (*fields, "token", "done")])
     earlier = (F.col("doc_id") < F.col("l_doc_id")) | ((F.col("doc_id") == F.col("l_doc_id")) & (F.col("line_no") < F.col("l_line_no")))
-    met = rest.join(postings(classes), (F.col("token") == F.col("l_token")) & earlier & _may_match(F.col("n"), F.col("l_n"), F.col("b"), F.col("l_b"), F.col("p"), F.col("l_p")))
+    # told of both sides, so that one exchange of the postings serves both
+    met = later.join(every, (F.col("token") == F.col("l_token")) & (F.col("l_done") * 2 <= F.col("done") + F.lit(1) - F.col("done")) & earlier & _may_match(F.col("n"), F.col("l_n"), F.col("b"), F.col("l_b"), F.col("p"), F.col("l_p")))
     far = write_stage(met.select(F.col("l_doc_id").alias("doc_id"), F.col("l_line_no").alias("line_no"), F.col("doc_id").alias("a_doc_id"), F.col("line_no").alias("a_line_no")).distinct(), "far_pairs")
-    release(spark)
-    late = write_stage(_verify(far, docs, rarity), "late")
-    release(spark)
+    drop_stage(classes)
+    late = _verify(far, docs, rarity)
     return copies.unionByName(settled).unionByName(late)
 
 
