@@ -375,3 +375,88 @@ def vector_score(s, d):
     signed = F.transform(c("embedding"), lambda v, i: v.cast("double") * F.when(i % 2 == 1, 1.0).otherwise(-1.0))
     dot = F.aggregate(signed, F.lit(0.0), lambda a, v: a + v)
     return V.read(s, d, "embeddings").select("vec_id", F.round(1 / (1 + F.exp(-dot)), 6).alias("prob"))
+
+
+# dense kernels: no SQL form; tests hold them against other implementations ---------------------------
+
+
+def _synthetic(s, d, height: int = 260, width: int = 320) -> DataFrame:
+    """Small pages with a printed line and a coloured stroke, one per supplier."""
+    from foliowash.schemas import PAGES
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            data = []
+            for k in pdf["page_id"].tolist():
+                page = np.full((height, width, 3), 245, np.uint8)
+                page[40:52, 30:290:6] = 20
+                page[44:47, 30:290] = 20
+                top = 120 + k % 40
+                page[top : top + 5, 60 : 180 + k % 80] = (220, 30, 30)
+                data.append(page.tobytes())
+            yield pd.DataFrame({"page_id": pdf["page_id"], "origin": "synthetic", "fmt": "image", "height": height, "width": width, "n_channels": 3, "data": data})
+
+    return V.read(s, d, "supplier").select(c("s_suppkey").cast("long").alias("page_id")).mapInPandas(draw, PAGES)
+
+
+@query("clean_pages")
+def clean_pages(s, d):
+    from foliowash.config import Config
+    from foliowash.plans.clean import clean
+
+    out = clean(_synthetic(s, d), Config(ocr_combine_color=True))
+    return out.select("page_id", "status", "height", "width", "bbox_count", F.round("mask_coverage", 6).alias("mask_coverage"), F.crc32("data").alias("data_crc32"), F.size("handwriting").alias("n_handwriting"))
+
+
+@query("nms_greedy")
+def nms_greedy(s, d):
+    import numpy as np
+    import pandas as pd
+
+    from foliowash.kernels.image import nms
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        return pdf.iloc[nms(pdf[["x", "y", "w", "h"]].to_numpy(), pdf["score_pct"].to_numpy(np.float64), 0.45)][["page", "id"]]
+
+    return V.hw(s, d).select("page", "id", "x", "y", "w", "h", "score_pct").groupBy("page").applyInPandas(run, "page long, id string")
+
+
+@query("components_area")
+def components_area(s, d):
+    import numpy as np
+    import pandas as pd
+
+    from foliowash.kernels.image import components
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((V.HEIGHT, V.WIDTH), np.uint8)
+        mask[pdf["y"], pdf["x"]] = 255
+        area = components(mask)[1][1:]
+        return pd.DataFrame({"page": int(pdf["page"].iloc[0]), "component": np.arange(len(area)), "area": area})
+
+    return V.grid(s, d).where(P.seed("red")).select("page", "y", "x").groupBy("page").applyInPandas(run, "page int, component int, area long")
+
+
+@query("page_crop")
+def page_crop(s, d):
+    import numpy as np
+    import pandas as pd
+
+    from foliowash.kernels.image import fill_polygon
+    from foliowash.kernels.page import crop
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k in pdf["page_id"].tolist():
+                photo = np.full((300, 400, 3), 110, np.uint8)
+                photo[fill_polygon((300, 400), np.array([[60 + k % 9, 35], [330, 45 + k % 7], [345, 270], [55, 255 - k % 11]])) > 0] = 245
+                out, info = crop(photo)
+                rows.append((k, info.cropped, out.shape[0], out.shape[1], info.warning))
+            yield pd.DataFrame(rows, columns=["page_id", "cropped", "height", "width", "warning"])
+
+    return V.read(s, d, "supplier").select(c("s_suppkey").cast("long").alias("page_id")).mapInPandas(run, "page_id long, cropped boolean, height int, width int, warning string")
