@@ -59,7 +59,9 @@ def synthetic_page(seed: int = 42, height: int = 1750, width: int = 1240) -> np.
         x = left + 340 * t + 25 * np.sin(23 * t + rng.random())
         y = top + 45 * np.sin(31 * t) + 20 * np.cos(17 * t)
         for d in range(thick):
-            page[(y + d).astype(int), x.astype(int)] = colour
+            py, px = (y + d).astype(int), x.astype(int)
+            on = (py >= 0) & (py < height) & (px >= 0) & (px < width)  # a smaller page shows a part
+            page[py[on], px[on]] = colour
     return page
 
 
