@@ -38,14 +38,15 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"foliowash-{uuid.uuid4().hex}", name)
-    # the written table replaces the plan, so Spark may drop the plan's shuffle files once it is complete
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
+    df.write.parquet(path)
+    last = context.newShuffleId()
+    # the written table replaces the plan, so its shuffle files need not wait for a garbage collection;
+    # while other jobs run, numbers in between may be theirs, and all are left to Spark
+    if not spark.sparkContext.statusTracker().getActiveJobsIds() and context.cleaner().isDefined():
+        for number in range(first + 1, last):
+            context.cleaner().get().doCleanupShuffle(number, False)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out

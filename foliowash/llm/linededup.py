@@ -8,7 +8,7 @@ more to it, whether or not that earlier line stays itself.
    size; the order is by count class, then by hash, the same for all lines.
 2. Lines of equal token sets are one class; all but the first are removed.
 3. Classes meet on the tokens of their prefixes (a pair over the threshold shares one). Length and
-   positional filters, and the bound that a 64-bit parity sketch gives on the symmetric difference, drop
+   positional filters, and the bound that a 128-bit parity sketch gives on the symmetric difference, drop
    pairs that can't reach it; the others are verified on their whole token sets.
    Each class is first compared with the likeliest of the last few classes before it under its prefix tokens,
    which settles groups of near copies in linear time; only classes that match none of those are joined
@@ -64,18 +64,19 @@ def _keys(line: Column, rarity: Column) -> Column:
     return F.sort_array(F.transform(_hashes(line), key))
 
 
-def _sketch(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _sketch(keys: Column, half: int) -> Column:
+    """One half of a 128-bit sketch: each token flips one of its bits."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
 
 
-def _may_match(n1: Column, n2: Column, b1: Column, b2: Column, p1: Column | None = None, p2: Column | None = None) -> Column:
+def _may_match(mine, other) -> Column:
     """Necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is 9 * overlap >= 4 * (n1 + n2)."""
+    (n1, b1, d1, p1), (n2, b2, d2, p2) = ([of(c) for c in ("n", "b", "d", "p")] for of in (mine, other))
     t, u = THRESHOLD
     need = F.ceil((n1 + n2) * t / float(t + u) - 1e-9)
-    ok = (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * need)
-    if p1 is not None:
-        ok = ok & (F.least(p1, p2) + 1 + F.least(n1 - p1, n2 - p2) - 1 >= need)
-    return ok
+    differ = F.bit_count(b1.bitwiseXOR(b2)) + F.bit_count(d1.bitwiseXOR(d2))
+    return (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (differ <= n1 + n2 - 2 * need) & (F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= need)
 
 
 def _place(prefix: str = "") -> list[str]:
@@ -117,31 +118,31 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     n = F.size("keys")
     t, u = THRESHOLD
     prefix = n - F.floor((n * t + u - 1) / u).cast("int") + 1
-    keyed = keyed.where("size(keys) > 0").select("doc_id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set_id"), _sketch(F.col("keys")).alias("b"), F.slice("keys", F.lit(1), prefix).alias("prefix"))
+    keyed = keyed.where("size(keys) > 0").select("doc_id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set_id"), _sketch(F.col("keys"), 0).alias("b"), _sketch(F.col("keys"), 1).alias("d"), F.slice("keys", F.lit(1), prefix).alias("prefix"))
     keyed = write_stage(keyed, "lines")
     first = keyed.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("f.doc_id", "f.line_no")
     first = write_stage(first, "first_lines")
     copies = write_stage(keyed.select("doc_id", "line_no").distinct().join(first, _place(), "left_anti"), "exact_copies")
     # sets of fewer than 4 tokens can only match equal ones
-    classes = write_stage(keyed.where("n >= 4").join(first, _place(), "left_semi").select("doc_id", "line_no", "n", "b", "prefix"), "classes")
+    classes = write_stage(keyed.where("n >= 4").join(first, _place(), "left_semi").select("doc_id", "line_no", "n", "b", "d", "prefix"), "classes")
     drop_stage(keyed, first)
 
     def postings(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", "line_no", "n", "b", F.posexplode("prefix").alias("p", "token"))
+        return of.select("doc_id", "line_no", "n", "b", "d", F.posexplode("prefix").alias("p", "token"))
 
     order = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    fields = ("doc_id", "line_no", "n", "b", "p")
+    fields = ("doc_id", "line_no", "n", "b", "d", "p")
     seen = postings(classes).select("*", *[F.lag(c, k).over(order).alias(f"{c}{k}") for k in range(1, _NEAR + 1) for c in fields])
-    other = lambda k: F.when(_may_match(F.col("n"), F.col(f"n{k}"), F.col("b"), F.col(f"b{k}"), F.col("p"), F.col(f"p{k}")) & ((F.col("doc_id") != F.col(f"doc_id{k}")) | (F.col("line_no") != F.col(f"line_no{k}"))), F.struct(F.bit_count(F.col("b").bitwiseXOR(F.col(f"b{k}"))).alias("bits"), F.col(f"doc_id{k}").alias("a_doc_id"), F.col(f"line_no{k}").alias("a_line_no")))
+    other = lambda k: F.when(_may_match(F.col, lambda c: F.col(f"{c}{k}")) & ((F.col("doc_id") != F.col(f"doc_id{k}")) | (F.col("line_no") != F.col(f"line_no{k}"))), F.struct(F.bit_count(F.col("b").bitwiseXOR(F.col(f"b{k}"))).alias("bits"), F.col(f"doc_id{k}").alias("a_doc_id"), F.col(f"line_no{k}").alias("a_line_no")))
     near = seen.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*[other(k) for k in range(1, _NEAR + 1)]))).alias("a")).groupBy("doc_id", "line_no").agg(F.min("a").alias("a")).select("doc_id", "line_no", "a.a_doc_id", "a.a_line_no")
     near = write_stage(near, "near_pairs")
     settled = _verify(near, docs, rarity)
-    marked = classes.join(settled.withColumn("done", F.lit(1)), _place(), "left").select("doc_id", "line_no", "n", "b", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
-    every = marked.select("doc_id", "line_no", "n", "b", "done", F.posexplode("prefix").alias("p", "token"))
+    marked = classes.join(settled.withColumn("done", F.lit(1)), _place(), "left").select("doc_id", "line_no", "n", "b", "d", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    every = marked.select("doc_id", "line_no", "n", "b", "d", "done", F.posexplode("prefix").alias("p", "token")).select(*fields, "token", "done")
     later = every.select(*[F.col(c).alias(f"l_{c}") for c in (*fields, "token", "done")])
     earlier = (F.col("doc_id") < F.col("l_doc_id")) | ((F.col("doc_id") == F.col("l_doc_id")) & (F.col("line_no") < F.col("l_line_no")))
     # told of both sides, so that one exchange of the postings serves both
-    met = later.join(every, (F.col("token") == F.col("l_token")) & (F.col("l_done") * 2 <= F.col("done") + F.lit(1) - F.col("done")) & earlier & _may_match(F.col("n"), F.col("l_n"), F.col("b"), F.col("l_b"), F.col("p"), F.col("l_p")))
+    met = later.join(every, (F.col("token") == F.col("l_token")) & (F.col("l_done") * 2 <= F.col("done") + F.lit(1) - F.col("done")) & earlier & _may_match(F.col, lambda c: F.col(f"l_{c}")))
     far = write_stage(met.select(F.col("l_doc_id").alias("doc_id"), F.col("l_line_no").alias("line_no"), F.col("doc_id").alias("a_doc_id"), F.col("line_no").alias("a_line_no")).distinct(), "far_pairs")
     drop_stage(classes)
     late = _verify(far, docs, rarity)
