@@ -7,7 +7,7 @@ visits are widened until the wanted share of true neighbours lies in the visited
 in blocks of bounded size, so rows move once per group of queries and a query moves once per block.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-those of another length than most; a row never finds rows of its own vec_id; fewer candidates than k give
+those of another length than most; a row never finds rows of its own vec_id; repeated rows are found once; fewer candidates than k give
 all of them; ties go to the smaller vec_id; null vec_ids take no part; an empty table gives no rows.
 """
 
@@ -187,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     def answer(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asks):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        data = data.sort_values(["leaf", "vec_id"])
+        data = data.drop_duplicates(["vec_id", "data"]).sort_values(["leaf", "vec_id"])  # repeated rows share a leaf
         x, ids, leaf = from_binary(data["data"], size), data["vec_id"].to_numpy(np.int64), data["leaf"].to_numpy()
         q, own = from_binary(asks["data"], size), asks["query_id"].to_numpy(np.int64)
         asked = np.concatenate([np.asarray(v, dtype=np.int64) for v in asks["leaves"]])
