@@ -35,7 +35,7 @@ from foliowash.llm.bytewords import arrow_bytes, slices, words_of
 from foliowash.llm.common import fold, partitions_for, write_stage
 from foliowash.llm.eliasfano import EliasFano
 
-BLOCK_BYTES, LEAST, DISCOUNT = 12 << 20, 2, 0.75
+BLOCK_BYTES, LEAST, DISCOUNT = 5 << 20, 2, 0.75
 _START, _END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC6A4A7935BD1E995)
 _BITS = 40
 _STEPS, _PER_STEP = 254, 8 / 254  # 8-bit codes: log10 from 0 to -8; 255: not in the trie
