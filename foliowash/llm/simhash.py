@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliowash.llm import minhash
 from foliowash.llm.bytewords import slices, spaced, words
 from foliowash.llm.common import components, write_stage
 
@@ -204,10 +205,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERROR
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, errors: int = 6) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with its smallest doc_id
-    stays, once if that row is repeated. Rows with a null doc_id take no part and stay."""
-    found = write_stage(near_duplicates(docs, shingle, errors), "components")
+def keep_one(docs: DataFrame, shingle: int = minhash.SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates (``minhash``: similarity 0.8 or more): of each component
+    the row with its smallest doc_id stays, once if that row is repeated. Rows with a null doc_id take no
+    part and stay."""
+    found = write_stage(minhash.near_duplicates(docs, shingle), "components")
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_times"))
     kept = write_stage(kept, "kept")
     known = F.col("doc_id").isNotNull()

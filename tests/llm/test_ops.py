@@ -137,6 +137,25 @@ def test_keep_one(docs, odd):
     assert rows.count("same text here") == 1 and rows.count("a") == 1 and "no id" in rows
 
 
+def test_keep_one_against_brute_force(spark, odd):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(int(rng.integers(30, 300)))]
+        for rate in (0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.06):
+            rows.append(" ".join(w if rng.random() >= rate else f"z{rng.integers(10**6)}" for w in base))
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    low = list(range(len(rows)))
+    for _ in rows:
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], odd.schema)
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert kept == {k for k in range(len(rows)) if low[k] == k} and 40 < len(kept) < len(rows)
+
+
 def brute_lines(df):
     rows = sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").distinct().collect() if r["doc_id"] is not None and r["text"] is not None)
     seen, gone = [], set()
