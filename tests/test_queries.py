@@ -1,5 +1,6 @@
 import pytest
 
+from foliowash.plans import views as V
 from foliowash.plans.queries import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
@@ -13,6 +14,29 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
+def test_box_queries_take_all_boxes(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = lines.where("l_returnflag <> 'R'").count()
+    assert QUERIES["hw_semi_all"](spark, sf_dir).count() + QUERIES["hw_anti_all"](spark, sf_dir).count() == n
+    area = lambda b: b["w"] * b["h"]
+
+    def iou(a, b):
+        i = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])) * max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
+        return i / (area(a) + area(b) - i)
+
+    pages = {}
+    for b in V.boxes(spark, sf_dir).where("flag = 'R'").collect():
+        pages.setdefault(b["page"], []).append(b)
+    want = set()
+    for boxes in pages.values():
+        kept = []
+        for b in sorted(boxes, key=lambda b: (-b["score_pct"], b["id"])):
+            if all(iou(b, k) <= 0.45 for k in kept):
+                kept.append(b)
+        want |= {(b["page"], b["id"]) for b in kept}
+    assert {tuple(r) for r in QUERIES["nms_greedy"](spark, sf_dir).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
