@@ -22,7 +22,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.language_model_scores(table(spark, sf_dir, "documents"))
+    return lm.language_model_scores(table(spark, sf_dir, "documents"), least=1)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

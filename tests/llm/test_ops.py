@@ -276,6 +276,28 @@ def test_language_model_against_brute_force(docs, odd):
     assert lm.language_model_scores(odd.limit(0)).count() == 0
 
 
+def test_language_model_query_keeps_pairs_seen_once(spark, sf_dir, docs):
+    from foliowash.llm.queries import QUERIES
+
+    got = QUERIES["op4_lm_scoring"](spark, sf_dir).toPandas().set_index("doc_id")["score"]
+    seq = {i: split(t) + [None] for i, t in texts(docs).items()}
+    c, pair, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in seq.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(w)
+            pair.update(zip([0, *w[:-1]], w, strict=True))
+            before.update([0, *w[:-1]])
+    n, v = sum(c.values()), len(c)
+    q, left = {}, collections.defaultdict(lambda: 1.0)
+    for (a, b), k in pair.items():
+        q[a, b] = 10 ** (-8 / 254 * min(254, max(0, math.ceil(-math.log10((k - 0.75) / before[a]) * 254 / 8 - 1e-9))))
+        left[a] -= q[a, b]
+    assert any(k == 1 for k in pair.values())
+    for i, w in seq.items():
+        want = sum(math.log10(q.get((a, x), 0) + max(left[a], 1e-6) * (c[x] + 1) / (n + v + 1)) for a, x in zip([0, *w[:-1]], w, strict=True))
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
