@@ -39,6 +39,13 @@ def _union_share(box, others) -> float:
     return float(canvas.mean()) if canvas.size else 0.0
 
 
+def _read_twice(rgb: np.ndarray, box, reader) -> list[tuple[int, int, int, int, float]]:
+    """What the reader finds in a box enlarged to twice its size, in the box's own pixels."""
+    x, y, w, h = box
+    found = reader(K.resize(rgb[y : y + h, x : x + w], 2 * h, 2 * w))
+    return [(int(a) // 2, int(b) // 2, min(w, -(-int(a + c) // 2)) - int(a) // 2, min(h, -(-int(b + d) // 2)) - int(b) // 2, s) for a, b, c, d, _, s in found]
+
+
 def decide(rgb: np.ndarray, cfg: Config, reader, detector=None, classifier=None) -> Decision:
     """Which boxes are print, which handwriting, and the mask of ink outside print."""
     if rgb.dtype != np.uint8 or rgb.ndim != 3 or rgb.shape[2] != 3:
@@ -66,7 +73,7 @@ def decide(rgb: np.ndarray, cfg: Config, reader, detector=None, classifier=None)
             elif p <= cfg.ocr_uncertain_low or not cfg.ocr_split_uncertain:
                 printed.append(b)
             else:
-                pieces = M.split_uncertain(grey, b)
+                pieces = M.split_uncertain(grey, b, (lambda _, b=b: _read_twice(rgb, b, reader)) if reader else None)
                 if len(pieces) < 2:
                     (handwriting if p >= cfg.ocr_prob_threshold else printed).append(b)
                 else:

@@ -85,3 +85,18 @@ def test_config_and_backends():
     with pytest.raises(ValueError):
         backends.get("other")
     assert backends.spread_classifier([np.zeros((0, 0, 3), np.uint8)]) == [0.0]
+
+
+def test_uncertain_boxes_are_read_again_at_twice_their_size():
+    page = np.full((60, 320, 3), 255, np.uint8)
+    page[20:40, 10:310:3] = 0
+    seen = []
+
+    def reader(rgb):
+        seen.append(rgb.shape[:2])
+        if len(seen) == 1:
+            return [(10, 15, 300, 30, "", 0.99)]
+        return [(k * 200, 0, 200, 60, "", 0.9) for k in range(3)]
+
+    made = decide(page, Config(), reader, None, lambda crops: [0.2] * len(crops))
+    assert seen == [(60, 320), (60, 600)] and made.printed + made.handwriting == [(10, 15, 100, 30), (110, 15, 100, 30), (210, 15, 100, 30)]
