@@ -31,22 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+def write_stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     This cuts lineage and survives lost executors; later stages re-read files instead of recomputing.
+    ``release`` asks the driver's JVM to collect garbage, upon which Spark's own cleaner drops the shuffle
+    files of plans that nothing refers to any more, such as the one just written: for stages that move much.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"foliowash-{uuid.uuid4().hex}", name)
-    context = spark.sparkContext._jsc.sc()
-    first = context.newShuffleId()
     df.write.parquet(path)
-    last = context.newShuffleId()
-    # the written table replaces the plan, so its shuffle files need not wait for a garbage collection;
-    # while other jobs run, numbers in between may be theirs, and all are left to Spark
-    if not spark.sparkContext.statusTracker().getActiveJobsIds() and context.cleaner().isDefined():
-        for number in range(first + 1, last):
-            context.cleaner().get().doCleanupShuffle(number, False)
+    if release:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out

@@ -6,17 +6,21 @@ more to it, whether or not that earlier line stays itself.
 
 1. Tokens are ordered by rarity: their counts over all lines, by 2^16 hash cells, form a table of fixed
    size; the order is by count class, then by hash, the same for all lines.
-2. Lines of equal token sets are one class; all but the first are removed.
-3. Classes meet on the tokens of their prefixes (a pair over the threshold shares one). Length and
-   positional filters, and the bound that a 128-bit parity sketch gives on the symmetric difference, drop
-   pairs that can't reach it; the others are verified on their whole token sets.
-   Each class is first compared with the likeliest of the last few classes before it under its prefix tokens,
-   which settles groups of near copies in linear time; only classes that match none of those are joined
-   with all earlier ones. So no group's pairs are all made, and none is lost.
+2. Lines of equal token sets (128 bits of hash and the size) are one class; all but the first are removed.
+3. Classes meet on the pairs of neighbours in the rarest part of this order. If a and b tokens of two sets
+   of n1 and n2 tokens have no partner, each of them parts at most one of the neighbours that the sets
+   share, so some shared pair of neighbours starts at place 2a + b of the first set or before, which is at
+   most 2/5 of its size at the threshold: a prefix of that length, with two tokens a key instead of one, so
+   that frequent tokens do not bring unlike lines together. Length and positional filters drop pairs of
+   classes that can't reach the threshold; the others are verified on their whole sets of words.
+4. Each class is first compared with the one before it and the first one under each of its keys, of which
+   the two that it meets most often count; that settles groups of near copies in linear time. Only classes
+   that match none of those are joined with all earlier ones. So no group's pairs are all made, and none is lost.
 
 Edge cases: blank lines stay and match nothing; null texts stay null; rows with a null doc_id stay whole
-and take no part; rows of one doc_id count as one document's repeated rows: equal (doc_id, line number)
-places never remove each other; an empty table stays empty; other columns are kept.
+and take no part; equal rows have the same places, and equal places never remove each other; different
+texts of one doc_id are ordered by their hash, each with lines of its own; an empty table stays empty;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from foliowash.llm.common import drop_stage, write_stage
 
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
 _CELLS = 1 << 16
-_NEAR = 3  # classes before, under each token, that are looked at first
+_PLACE = ["doc_id", "row", "line_no"]
 
 
 def _clean(text: Column) -> Column:
@@ -39,123 +43,169 @@ def _clean(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    text = _clean(F.lower("text"))
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).where("line <> ''")
+def _row(docs: DataFrame) -> Column:
+    """What tells texts of one doc_id apart; 0 if no doc_id is there twice."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return F.xxhash64("text") if again else F.lit(0).cast("long")
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(line, " ", -1), lambda x: x != ""), lambda x: F.xxhash64(x)))
+def _texts(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, row and the cleaned text of rows that take part."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    # the lower-cased text is a column of its own, or each use would compute it anew
+    low = known.select("doc_id", row.alias("row"), F.lower("text").alias("text"))
+    return low.select("doc_id", "row", _clean(F.col("text")).alias("text"))
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """An array literal: count class (eighths of a doubling, below 128) of each of 2^16 hash cells."""
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " ", -1), "")
+
+
+def _rarity(texts: DataFrame) -> Column:
+    """An array literal: count class (quarters of a doubling, below 128) of each of 2^16 hash cells, in the top byte."""
     cell = F.xxhash64("token").bitwiseAND(F.lit(_CELLS - 1))
-    counts = lines.select(F.explode(F.split("line", " ", -1)).alias("token")).where("token <> ''").groupBy(cell.cast("int").alias("cell")).count()
+    counts = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("token")).where("token <> ''").groupBy(cell.cast("int").alias("cell")).count()
     classes = ["0"] * _CELLS  # fixed size, whatever the input's
     for r in counts.select("cell", F.least(F.lit(127), F.floor(F.log2(F.col("count")) * 4)).alias("c")).collect():
-        classes[r["cell"]] = str(r["c"])
+        classes[r["cell"]] = str(r["c"] << 56)
     return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
 def _keys(line: Column, rarity: Column) -> Column:
     """Token keys in order: the class of the count above 56 bits of hash."""
-    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(_CELLS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(_hashes(line), key))
-
-
-def _sketch(keys: Column, half: int) -> Column:
-    """One half of a 128-bit sketch: each token flips one of its bits."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * half, a.bitwiseXOR(bit(k))).otherwise(a))
+    hashes = F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x)))
+    key = lambda h: F.get(rarity, h.bitwiseAND(F.lit(_CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, key))
 
 
-def _may_match(mine, other) -> Column:
-    """Necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is 9 * overlap >= 4 * (n1 + n2)."""
-    (n1, b1, d1, p1), (n2, b2, d2, p2) = ([of(c) for c in ("n", "b", "d", "p")] for of in (mine, other))
+def _may_match(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+    """Necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is 9 * overlap >= 4 * (n1 + n2), where the
+    first shared pair of neighbours has the places p1 and p2: the tokens shared before it are all parted, by
+    one of the others before it each, so they are a third of the tokens before it at most."""
     t, u = THRESHOLD
-    need = F.ceil((n1 + n2) * t / float(t + u) - 1e-9)
-    differ = F.bit_count(b1.bitwiseXOR(b2)) + F.bit_count(d1.bitwiseXOR(d2))
-    return (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (differ <= n1 + n2 - 2 * need) & (F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= need)
+    most = F.least(p1, p2, F.floor((p1 + p2) / 3)) + F.least(n1 - p1, n2 - p2)
+    return (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (most * (t + u) >= (n1 + n2) * t)
 
 
-def _place(prefix: str = "") -> list[str]:
-    return [f"{prefix}doc_id", f"{prefix}line_no"]
+def _as(prefix: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in _PLACE]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
-    """Of (doc_id, line_no, a_doc_id, a_line_no) pairs, the places (doc_id, line_no) of those that match.
+def _before(a: str, b: str) -> Column:
+    """Place ``a`` comes before place ``b`` (prefixes)."""
+    d, r, n = (f"{a}{c} {{}} {b}{c}" for c in _PLACE)
+    return F.expr(f"{d.format('<')} OR {d.format('=')} AND ({r.format('<')} OR {r.format('=')} AND {n.format('<')})")
 
-    A bitmap of fixed size over the places of pairs lets only their lines (and a few by chance) be read as
-    tokens and moved; when it fills up, more lines move and the result is the same.
-    """
-    bits = 1 << 22
-    at = lambda d, n: F.xxhash64(d, n).bitwiseAND(F.lit(bits - 1))
-    places = pairs.select(at("doc_id", "line_no").alias("k")).unionByName(pairs.select(at("a_doc_id", "a_line_no").alias("k")))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(F.lit(63)).cast("int"))
+
+def _filter_of(places: DataFrame) -> Column:
+    """A Bloom filter of one hash over places: a test of the columns of ``_PLACE``. Its size follows the
+    number of places up to 2^24 bits; beyond, more lines than needed pass."""
+    at = F.xxhash64(*_PLACE)
+    count = places.count()
+    bits = 1 << min(24, max(16, (8 * count).bit_length()))
+    k = at.bitwiseAND(F.lit(bits - 1))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     words = ["0"] * (bits // 64)
-    for r in places.groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).collect():  # at most 2^16 rows
+    for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^18 rows
         words[r["w"]] = str(r["bits"])
     table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
-    k = at("doc_id", "line_no")
-    listed = F.shiftrightunsigned(F.get(table, F.shiftrightunsigned(k, 6).cast("int")), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))) != 0
-    tokens = write_stage(_lines(docs).where(listed).select("doc_id", "line_no", _keys(F.col("line"), rarity).alias("keys")), "tokens")
-    later = pairs.join(tokens, _place())
-    both = later.join(tokens.select(F.col("doc_id").alias("a_doc_id"), F.col("line_no").alias("a_line_no"), F.col("keys").alias("a_keys")), _place("a_"))
-    shared = F.size(F.array_intersect("keys", "a_keys"))
+    return F.get(table, F.shiftrightunsigned(k, 6).cast("int")).bitwiseAND(one(k)) != 0
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _PLACE]))
+
+
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough tokens: what two sets share lies in both prefixes, or beyond the
+    one that ends first."""
+    own = classes.where(_filter_of(_sides(pairs))).select(*_PLACE, "n", "prefix")
+    both = pairs.join(own, _PLACE).join(own.select(*_as("a_"), F.col("n").alias("a_n"), F.col("prefix").alias("a_prefix")), [f"a_{c}" for c in _PLACE])
     t, u = THRESHOLD
-    out = write_stage(both.where(shared * (t + u) >= (F.size("keys") + F.size("a_keys")) * t).select("doc_id", "line_no").distinct(), "matched")
+    most = F.size(F.array_intersect("prefix", "a_prefix")) + F.greatest(F.col("n") - F.size("prefix"), F.col("a_n") - F.size("a_prefix"))
+    return write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs", release=True)
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs of a place and an earlier one (prefix ``a_``), the places of those whose sets of words match."""
+    listed = _filter_of(_sides(pairs))
+    tokens = write_stage(_lines(texts).where(listed).select(*_PLACE, F.array_distinct(_words(F.col("line"))).alias("words")).distinct(), "tokens")
+    both = pairs.join(tokens, _PLACE).join(tokens.select(*_as("a_"), F.col("words").alias("a_words")), [f"a_{c}" for c in _PLACE])
+    shared = F.size(F.array_intersect("words", "a_words"))
+    t, u = THRESHOLD
+    out = write_stage(both.where(shared * (t + u) >= (F.size("words") + F.size("a_words")) * t).select(*_PLACE).distinct(), "matched")
     drop_stage(tokens)
     return out
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier one removes; line numbers from 0."""
-    lines = _lines(docs)
-    rarity = _rarity(lines)
+def _removed(texts: DataFrame) -> DataFrame:
+    t, u = THRESHOLD
+    rarity = _rarity(texts)
     # explode keeps the optimizer from computing the keys anew for each column made of them
-    keyed = lines.select("doc_id", "line_no", F.explode(F.array(_keys(F.col("line"), rarity))).alias("keys"))
+    keyed = _lines(texts).select(*_PLACE, F.explode(F.array(_keys(F.col("line"), rarity))).alias("keys")).where("size(keys) > 0")
     n = F.size("keys")
-    t, u = THRESHOLD
-    prefix = n - F.floor((n * t + u - 1) / u).cast("int") + 1
-    keyed = keyed.where("size(keys) > 0").select("doc_id", "line_no", n.alias("n"), F.xxhash64("keys").alias("set_id"), _sketch(F.col("keys"), 0).alias("b"), _sketch(F.col("keys"), 1).alias("d"), F.slice("keys", F.lit(1), prefix).alias("prefix"))
-    keyed = write_stage(keyed, "lines")
-    first = keyed.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("f.doc_id", "f.line_no")
-    first = write_stage(first, "first_lines")
-    copies = write_stage(keyed.select("doc_id", "line_no").distinct().join(first, _place(), "left_anti"), "exact_copies")
     # sets of fewer than 4 tokens can only match equal ones
-    classes = write_stage(keyed.where("n >= 4").join(first, _place(), "left_semi").select("doc_id", "line_no", "n", "b", "d", "prefix"), "classes")
-    drop_stage(keyed, first)
-
-    def postings(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", "line_no", "n", "b", "d", F.posexplode("prefix").alias("p", "token"))
-
-    order = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    fields = ("doc_id", "line_no", "n", "b", "d", "p")
-    seen = postings(classes).select("*", *[F.lag(c, k).over(order).alias(f"{c}{k}") for k in range(1, _NEAR + 1) for c in fields])
-    other = lambda k: F.when(_may_match(F.col, lambda c: F.col(f"{c}{k}")) & ((F.col("doc_id") != F.col(f"doc_id{k}")) | (F.col("line_no") != F.col(f"line_no{k}"))), F.struct(F.bit_count(F.col("b").bitwiseXOR(F.col(f"b{k}"))).alias("bits"), F.col(f"doc_id{k}").alias("a_doc_id"), F.col(f"line_no{k}").alias("a_line_no")))
-    near = seen.select("doc_id", "line_no", F.explode(F.array_compact(F.array(*[other(k) for k in range(1, _NEAR + 1)]))).alias("a")).groupBy("doc_id", "line_no").agg(F.min("a").alias("a")).select("doc_id", "line_no", "a.a_doc_id", "a.a_line_no")
-    near = write_stage(near, "near_pairs")
-    settled = _verify(near, docs, rarity)
-    marked = classes.join(settled.withColumn("done", F.lit(1)), _place(), "left").select("doc_id", "line_no", "n", "b", "d", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
-    every = marked.select("doc_id", "line_no", "n", "b", "d", "done", F.posexplode("prefix").alias("p", "token")).select(*fields, "token", "done")
-    later = every.select(*[F.col(c).alias(f"l_{c}") for c in (*fields, "token", "done")])
-    earlier = (F.col("doc_id") < F.col("l_doc_id")) | ((F.col("doc_id") == F.col("l_doc_id")) & (F.col("line_no") < F.col("l_line_no")))
-    # told of both sides, so that one exchange of the postings serves both
-    met = later.join(every, (F.col("token") == F.col("l_token")) & (F.col("l_done") * 2 <= F.col("done") + F.lit(1) - F.col("done")) & earlier & _may_match(F.col, lambda c: F.col(f"l_{c}")))
-    far = write_stage(met.select(F.col("l_doc_id").alias("doc_id"), F.col("l_line_no").alias("line_no"), F.col("doc_id").alias("a_doc_id"), F.col("line_no").alias("a_line_no")).distinct(), "far_pairs")
-    drop_stage(classes)
-    late = _verify(far, docs, rarity)
+    prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
+    keyed = keyed.select(*_PLACE, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"))
+    keyed = write_stage(keyed, "lines")
+    of = ["h1", "h2", "n"]
+    classes = keyed.groupBy(*of).agg(F.min(F.struct(*_PLACE)).alias("f"), F.first("prefix").alias("prefix")).select("f.*", "n", "prefix")
+    classes = write_stage(classes, "classes", release=True)
+    copies = write_stage(keyed.select(*_PLACE).distinct().join(classes.select(*_PLACE), _PLACE, "left_anti"), "exact_copies")
+    drop_stage(keyed)
+
+    place = F.struct(*_PLACE, "n", "p")
+    count = F.size("prefix") - 1
+    grams = F.zip_with(F.slice("prefix", F.lit(1), count), F.slice("prefix", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
+    posted = classes.where("n >= 4").select(*_PLACE, "n", F.posexplode(grams).alias("p", "key"))
+    order = Window.partitionBy("key").orderBy(*_PLACE)
+    met = posted.select("*", F.lag(place).over(order).alias("near"), F.first(place).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"), F.lead("n").over(order).alias("next"))
+    # keys of one class only are done with
+    met = write_stage(met.where("near IS NOT NULL OR next IS NOT NULL").drop("next"), "met", release=True)
+    looks = met.where("near IS NOT NULL").select(*_PLACE, "n", "p", F.explode(F.array_distinct(F.array("near", "top"))).alias("a"))
+    looks = looks.where(_may_match(F.col("n"), F.col("p"), F.col("a.n"), F.col("a.p"))).groupBy(*_PLACE, *[F.col(f"a.{c}").alias(f"a_{c}") for c in _PLACE]).agg(F.count(F.lit(1)).alias("times"))
+    best = Window.partitionBy(*_PLACE).orderBy(F.desc("times"), *[f"a_{c}" for c in _PLACE])
+    near = looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").drop("rank", "times")
+    near = write_stage(near, "near_pairs", release=True)
+    settled = _verify(_close(near, classes), texts)
+    every = met.select(*_PLACE, "n", "p", "key").join(settled.withColumn("done", F.lit(1)), _PLACE, "left")
+    # both sides are the same columns, so that one exchange serves both
+    every = every.select(*_PLACE, "n", "p", "key", F.coalesce("done", F.lit(0)).alias("done"))
+    every = write_stage(every, "marked", release=True)
+    drop_stage(met)
+    earlier = every.select(*_as("a_"), F.col("n").alias("a_n"), F.col("p").alias("a_p"), F.col("key").alias("a_key"))
+    far = every.where("done = 0").join(earlier, F.col("key") == F.col("a_key")).where(_before("a_", "") & _may_match(F.col("n"), F.col("p"), F.col("a_n"), F.col("a_p")))
+    pair = [*_PLACE, *[f"a_{c}" for c in _PLACE]]
+    far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs", release=True)
+    drop_stage(every, near)
+    late = _verify(_close(far, classes), texts)
+    drop_stage(far, classes)
     return copies.unionByName(settled).unionByName(late)
 
 
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no) of every line that an earlier one removes; ``row`` as in ``_row``, line numbers from 0."""
+    return _removed(_texts(docs, _row(docs)))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``, and n_lines and n_removed added."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
+    """``docs`` with the removed lines taken out of ``text``, and n_lines and n_removed added; an input
+    column of one of those names stays as it is, and the number is left out."""
+    row = _row(docs)
+    gone = removed_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "doc_id", row.alias("row"), "text")
+    # texts are not sorted for the join; rows without a doc_id do not meet in one task
+    joined = rows.where("doc_id IS NOT NULL").join(gone.hint("shuffle_hash"), ["doc_id", "row"], "left")
+    joined = joined.unionByName(rows.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<int>")))
     parts = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*out, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    out = [text.alias(c) if c == "text" else F.col("input").getField(c).alias(c) for c in docs.columns]
+    more = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "n_removed": F.coalesce(F.size("gone"), F.lit(0))}
+    there = {c.lower() for c in docs.columns}
+    return joined.select(*out, *[v.alias(k) for k, v in more.items() if k not in there])

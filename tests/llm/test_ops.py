@@ -174,7 +174,7 @@ def test_line_dedup_against_brute_force(docs, odd, spark):
     base = [f"w{k}" for k in range(40)]
     near = [(k, " ".join(w if noise.random() > 0.06 else f"z{noise.integers(99)}" for w in base), "en", "s", 0) for k in range(60)]
     for df in (docs, odd, spark.createDataFrame(near, odd.schema)):
-        assert {tuple(r) for r in linededup.removed_lines(df).collect()} == brute_lines(df)
+        assert {(r["doc_id"], r["line_no"]) for r in linededup.removed_lines(df).collect()} == brute_lines(df)
     out = linededup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == odd.count()
     assert out.where("doc_id = 0").first()["text"] is None
