@@ -33,6 +33,7 @@ from foliowash.llm.common import drop_stage, write_stage
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
 _CELLS = 1 << 16
 _PLACE = ["doc_id", "row", "line_no"]
+_BLANK = " \t\v\f\r"
 
 
 def _clean(text: Column) -> Column:
@@ -43,18 +44,23 @@ def _clean(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
-def _row(docs: DataFrame) -> Column:
+def _again(docs: DataFrame) -> bool:
+    return docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _row(again: bool) -> Column:
     """What tells texts of one doc_id apart; 0 if no doc_id is there twice."""
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return F.xxhash64("text") if again else F.lit(0).cast("long")
 
 
-def _texts(docs: DataFrame, row: Column) -> DataFrame:
-    """doc_id, row and the cleaned text of rows that take part."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def _raw(docs: DataFrame, again: bool) -> DataFrame:
+    """doc_id, row and text of rows that take part."""
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _row(again).alias("row"), "text")
+
+
+def _texts(raw: DataFrame) -> DataFrame:
     # the lower-cased text is a column of its own, or each use would compute it anew
-    low = known.select("doc_id", row.alias("row"), F.lower("text").alias("text"))
-    return low.select("doc_id", "row", _clean(F.col("text")).alias("text"))
+    return raw.withColumn("text", F.lower("text")).withColumn("text", _clean(F.col("text")))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -78,14 +84,15 @@ def _rarity(texts: DataFrame) -> Column:
 def _keys(line: Column, rarity: Column) -> Column:
     """Token keys in order: the class of the count above 56 bits of hash."""
     hashes = F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x)))
-    key = lambda h: F.get(rarity, h.bitwiseAND(F.lit(_CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # never null, so that plain numbers are sorted
+    key = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(_CELLS - 1))), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, key))
 
 
 def _may_match(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is 9 * overlap >= 4 * (n1 + n2), where the
-    first shared pair of neighbours has the places p1 and p2: the tokens shared before it are all parted, by
-    one of the others before it each, so they are a third of the tokens before it at most."""
+    """Length and positional filter: necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is
+    9 * overlap >= 4 * (n1 + n2), where the first shared pair of neighbours has the places p1 and p2. The tokens
+    shared before it are all parted, by one of the others before it each: they are a third of those at most."""
     t, u = THRESHOLD
     most = F.least(p1, p2, F.floor((p1 + p2) / 3)) + F.least(n1 - p1, n2 - p2)
     return (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (most * (t + u) >= (n1 + n2) * t)
@@ -104,46 +111,51 @@ def _before(a: str, b: str) -> Column:
 def _filter_of(places: DataFrame) -> Column:
     """A Bloom filter of one hash over places: a test of the columns of ``_PLACE``. Its size follows the
     number of places up to 2^24 bits; beyond, more lines than needed pass."""
-    at = F.xxhash64(*_PLACE)
-    count = places.count()
-    bits = 1 << min(24, max(16, (8 * count).bit_length()))
-    k = at.bitwiseAND(F.lit(bits - 1))
+    bits = 1 << min(24, max(16, (8 * places.count()).bit_length()))
+    k = F.xxhash64(*_PLACE).bitwiseAND(F.lit(bits - 1))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     words = ["0"] * (bits // 64)
     for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^18 rows
         words[r["w"]] = str(r["bits"])
     table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
-    return F.get(table, F.shiftrightunsigned(k, 6).cast("int")).bitwiseAND(one(k)) != 0
+    return F.get(table, F.shiftrightunsigned(k, 6)).bitwiseAND(one(k)) != 0
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _PLACE]))
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose prefixes share enough tokens: what two sets share lies in both prefixes, or beyond the
-    one that ends first."""
-    own = classes.where(_filter_of(_sides(pairs))).select(*_PLACE, "n", "prefix")
-    both = pairs.join(own, _PLACE).join(own.select(*_as("a_"), F.col("n").alias("a_n"), F.col("prefix").alias("a_prefix")), [f"a_{c}" for c in _PLACE])
-    t, u = THRESHOLD
-    most = F.size(F.array_intersect("prefix", "a_prefix")) + F.greatest(F.col("n") - F.size("prefix"), F.col("a_n") - F.size("a_prefix"))
-    return write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs", release=True)
+def _join_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of both places (prefix ``a_`` of the earlier one's)."""
+    there = rows.select(*_as("a_"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    return pairs.join(rows.select(*_PLACE, *columns), _PLACE).join(there, [f"a_{c}" for c in _PLACE])
+
 
+def _matching(pairs: DataFrame, classes: DataFrame, raw: DataFrame, again: bool) -> DataFrame:
+    """Of pairs of a place and an earlier one (prefix ``a_``), the places of those whose sets of words match.
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs of a place and an earlier one (prefix ``a_``), the places of those whose sets of words match."""
-    listed = _filter_of(_sides(pairs))
-    tokens = write_stage(_lines(texts).where(listed).select(*_PLACE, F.array_distinct(_words(F.col("line"))).alias("words")).distinct(), "tokens")
-    both = pairs.join(tokens, _PLACE).join(tokens.select(*_as("a_"), F.col("words").alias("a_words")), [f"a_{c}" for c in _PLACE])
-    shared = F.size(F.array_intersect("words", "a_words"))
+    First the positional filter: what two sets share lies in both prefixes, or beyond the one that ends
+    first. Then the words of the lines that are left are read and compared.
+    """
     t, u = THRESHOLD
-    out = write_stage(both.where(shared * (t + u) >= (F.size("words") + F.size("a_words")) * t).select(*_PLACE).distinct(), "matched")
-    drop_stage(tokens)
+    both = _join_both(pairs, classes.where(_filter_of(_sides(pairs))), "n", "prefix")
+    most = F.size(F.array_intersect("prefix", "a_prefix")) + F.greatest(F.col("n") - F.size("prefix"), F.col("a_n") - F.size("a_prefix"))
+    close = write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs", release=True)
+    lines = _lines(raw).where(_filter_of(_sides(close)))
+    if again:  # equal rows have equal places
+        lines = lines.dropDuplicates(_PLACE)
+    words = lambda c: F.array_distinct(_words(_clean(F.lower(c))))
+    both = _join_both(close, lines, "line").select(*_PLACE, words("line").alias("w"), words("a_line").alias("v"))
+    out = write_stage(both.where(F.size(F.array_intersect("w", "v")) * (t + u) >= (F.size("w") + F.size("v")) * t).select(*_PLACE).distinct(), "matched", release=True)
+    drop_stage(close)
     return out
 
 
-def _removed(texts: DataFrame) -> DataFrame:
+def _kept(docs: DataFrame, again: bool) -> DataFrame:
+    """The places of lines with words that no earlier line removes."""
     t, u = THRESHOLD
+    raw = _raw(docs, again)
+    texts = _texts(raw)
     rarity = _rarity(texts)
     # explode keeps the optimizer from computing the keys anew for each column made of them
     keyed = _lines(texts).select(*_PLACE, F.explode(F.array(_keys(F.col("line"), rarity))).alias("keys")).where("size(keys) > 0")
@@ -151,61 +163,70 @@ def _removed(texts: DataFrame) -> DataFrame:
     # sets of fewer than 4 tokens can only match equal ones
     prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
     keyed = keyed.select(*_PLACE, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"))
-    keyed = write_stage(keyed, "lines")
-    of = ["h1", "h2", "n"]
-    classes = keyed.groupBy(*of).agg(F.min(F.struct(*_PLACE)).alias("f"), F.first("prefix").alias("prefix")).select("f.*", "n", "prefix")
-    classes = write_stage(classes, "classes", release=True)
-    copies = write_stage(keyed.select(*_PLACE).distinct().join(classes.select(*_PLACE), _PLACE, "left_anti"), "exact_copies")
-    drop_stage(keyed)
+    classes = keyed.groupBy("h1", "h2", "n").agg(F.min(F.struct(*_PLACE)).alias("f"), F.first("prefix").alias("prefix"))
+    classes = write_stage(classes.select(F.monotonically_increasing_id().alias("id"), "f.*", "n", "prefix"), "classes", release=True)
 
-    place = F.struct(*_PLACE, "n", "p")
     count = F.size("prefix") - 1
     grams = F.zip_with(F.slice("prefix", F.lit(1), count), F.slice("prefix", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
-    posted = classes.where("n >= 4").select(*_PLACE, "n", F.posexplode(grams).alias("p", "key"))
+    posted = classes.where("n >= 4").select("id", F.posexplode(grams).alias("p", "key"))
+    by_id = Window.partitionBy("key").orderBy("id")
+    met = posted.select("*", F.lag("id").over(by_id).alias("a"), F.lead("id").over(by_id).alias("b")).where("a IS NOT NULL OR b IS NOT NULL")
+    met = write_stage(met.select("id", "p", "key"), "met", release=True)  # keys of one class only are done with
+
+    placed = met.join(classes.select("id", *_PLACE, "n"), "id")
     order = Window.partitionBy("key").orderBy(*_PLACE)
-    met = posted.select("*", F.lag(place).over(order).alias("near"), F.first(place).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"), F.lead("n").over(order).alias("next"))
-    # keys of one class only are done with
-    met = write_stage(met.where("near IS NOT NULL OR next IS NOT NULL").drop("next"), "met", release=True)
-    looks = met.where("near IS NOT NULL").select(*_PLACE, "n", "p", F.explode(F.array_distinct(F.array("near", "top"))).alias("a"))
+    place = F.struct(*_PLACE, "n", "p")
+    placed = placed.select(*_PLACE, "n", "p", "key", F.lag(place).over(order).alias("near"), F.first(place).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
+    placed = write_stage(placed, "placed", release=True)
+    drop_stage(met)
+    looks = placed.where("near IS NOT NULL").select(*_PLACE, "n", "p", F.explode(F.array_distinct(F.array("near", "top"))).alias("a"))
+    pair = [*_PLACE, *[f"a_{c}" for c in _PLACE]]
     looks = looks.where(_may_match(F.col("n"), F.col("p"), F.col("a.n"), F.col("a.p"))).groupBy(*_PLACE, *[F.col(f"a.{c}").alias(f"a_{c}") for c in _PLACE]).agg(F.count(F.lit(1)).alias("times"))
-    best = Window.partitionBy(*_PLACE).orderBy(F.desc("times"), *[f"a_{c}" for c in _PLACE])
-    near = looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").drop("rank", "times")
-    near = write_stage(near, "near_pairs", release=True)
-    settled = _verify(_close(near, classes), texts)
-    every = met.select(*_PLACE, "n", "p", "key").join(settled.withColumn("done", F.lit(1)), _PLACE, "left")
-    # both sides are the same columns, so that one exchange serves both
-    every = every.select(*_PLACE, "n", "p", "key", F.coalesce("done", F.lit(0)).alias("done"))
+    best = Window.partitionBy(*_PLACE).orderBy(F.desc("times"), *pair[3:])
+    near = write_stage(looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select(*pair), "near_pairs", release=True)
+    settled = _matching(near, classes, raw, again)
+
+    every = placed.select(*_PLACE, "n", "p", "key").join(settled.withColumn("done", F.lit(1)), _PLACE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
     every = write_stage(every, "marked", release=True)
-    drop_stage(met)
+    drop_stage(placed)
     earlier = every.select(*_as("a_"), F.col("n").alias("a_n"), F.col("p").alias("a_p"), F.col("key").alias("a_key"))
     far = every.where("done = 0").join(earlier, F.col("key") == F.col("a_key")).where(_before("a_", "") & _may_match(F.col("n"), F.col("p"), F.col("a_n"), F.col("a_p")))
-    pair = [*_PLACE, *[f"a_{c}" for c in _PLACE]]
     far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs", release=True)
     drop_stage(every, near)
-    late = _verify(_close(far, classes), texts)
-    drop_stage(far, classes)
-    return copies.unionByName(settled).unionByName(late)
+    late = _matching(far, classes, raw, again)
+    kept = write_stage(classes.select(*_PLACE).join(settled.unionByName(late), _PLACE, "left_anti"), "kept", release=True)
+    drop_stage(far, classes, settled, late)
+    return kept
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no) of every line that an earlier one removes; ``row`` as in ``_row``, line numbers from 0."""
-    return _removed(_texts(docs, _row(docs)))
+    again = _again(docs)
+    lines = _lines(_raw(docs, again)).where(F.ltrim("line", F.lit(_BLANK)) != "").select(*_PLACE).distinct()
+    return lines.join(_kept(docs, again), _PLACE, "left_anti")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and n_lines and n_removed added; an input
     column of one of those names stays as it is, and the number is left out."""
-    row = _row(docs)
-    gone = removed_lines(docs).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "doc_id", row.alias("row"), "text")
-    # texts are not sorted for the join; rows without a doc_id do not meet in one task
-    joined = rows.where("doc_id IS NOT NULL").join(gone.hint("shuffle_hash"), ["doc_id", "row"], "left")
-    joined = joined.unionByName(rows.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<int>")))
-    parts = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
-    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    out = [text.alias(c) if c == "text" else F.col("input").getField(c).alias(c) for c in docs.columns]
-    more = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "n_removed": F.coalesce(F.size("gone"), F.lit(0))}
+    again = _again(docs)
+    kept = _kept(docs, again).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "doc_id", _row(again).alias("row"), "text")
+    # texts are not sorted for the join; rows that take no part do not meet in one task
+    part = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    joined = rows.where(part).join(kept.hint("shuffle_hash"), ["doc_id", "row"], "left")
+    joined = joined.withColumn("parts", F.split("text", "\n", -1))
+    blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.ltrim(F.get("parts", i), F.lit(_BLANK)) == "")
+    # explode, as above: computed once
+    joined = joined.withColumn("places", F.explode(F.array(F.sort_array(F.array_union(blank, F.coalesce("kept", F.array().cast("array<int>")))))))
+    n_lines, n_removed = F.size("parts"), F.size("parts") - F.size("places")
+    text = F.when(n_removed == 0, F.col("text")).otherwise(F.array_join(F.transform("places", lambda i: F.get("parts", i)), "\n"))
     there = {c.lower() for c in docs.columns}
-    return joined.select(*out, *[v.alias(k) for k, v in more.items() if k not in there])
+
+    def out(of: DataFrame, text: Column, n_lines: Column, n_removed: Column) -> DataFrame:
+        columns = [text.alias(c) if c == "text" else F.col("input").getField(c).alias(c) for c in docs.columns]
+        return of.select(*columns, *[v.alias(k) for k, v in {"n_lines": n_lines, "n_removed": n_removed}.items() if k not in there])
+
+    changed = out(joined, text, n_lines, n_removed)
+    aside = out(rows.where(~part), F.col("text"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0))
+    return changed.unionByName(aside)
