@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,18 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def write_stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
-    This cuts lineage and survives lost executors; later stages re-read files instead of recomputing.
-    ``release`` asks the driver's JVM to collect garbage, upon which Spark's own cleaner drops the shuffle
-    files of plans that nothing refers to any more, such as the one just written: for stages that move much.
+    This cuts lineage and survives lost executors; later stages re-read files instead of recomputing. For
+    this write Spark is told to drop a plan's shuffle files when it ends, as the table replaces them.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"foliowash-{uuid.uuid4().hex}", name)
-    df.write.parquet(path)
-    if release:
-        spark._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out

@@ -4,8 +4,8 @@ A line is what stands between line feeds; its tokens are the distinct words of t
 is removed if an earlier line (by doc_id, then line number) has a Jaccard similarity of ``THRESHOLD`` or
 more to it, whether or not that earlier line stays itself.
 
-1. Tokens are ordered by rarity: their counts over all lines, by 2^16 hash cells, form a table of fixed
-   size; the order is by count class, then by hash, the same for all lines.
+1. Tokens are ordered by rarity: their counts over all lines, by 2^18 hash cells, form a table of fixed
+   size; the order is by the cells' counts, then by hash, the same for all lines.
 2. Lines of equal token sets (128 bits of hash and the size) are one class; all but the first are removed.
 3. Classes meet on the pairs of neighbours in the rarest part of this order. If a and b tokens of two sets
    of n1 and n2 tokens have no partner, each of them parts at most one of the neighbours that the sets
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from foliowash.llm.common import drop_stage, write_stage
 
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
-_CELLS = 1 << 16
+_CELL_BITS = 18
 _PLACE = ["doc_id", "row", "line_no"]
 _BLANK = " \t\v\f\r"
 
@@ -44,18 +44,20 @@ def _clean(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
-def _again(docs: DataFrame) -> bool:
-    return docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def _place(docs: DataFrame) -> list[str]:
+    """The columns that name and order lines: one number if all doc_ids are different and below 2^32, or
+    else doc_id, a hash of the text, which tells texts of one doc_id apart, and line_no."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().agg(F.min("doc_id"), F.max("doc_id"), F.max("count")).first()
+    return ["at"] if ids[2] is None or (ids[0] >= 0 and ids[1] < 1 << 32 and ids[2] == 1) else ["doc_id", "row", "line_no"]
 
 
-def _row(again: bool) -> Column:
-    """What tells texts of one doc_id apart; 0 if no doc_id is there twice."""
-    return F.xxhash64("text") if again else F.lit(0).cast("long")
+def _row(place: list[str]) -> Column:
+    return (F.xxhash64("text") if "row" in place else F.lit(0).cast("long")).alias("row")
 
 
-def _raw(docs: DataFrame, again: bool) -> DataFrame:
+def _raw(docs: DataFrame, place: list[str]) -> DataFrame:
     """doc_id, row and text of rows that take part."""
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _row(again).alias("row"), "text")
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _row(place), "text")
 
 
 def _texts(raw: DataFrame) -> DataFrame:
@@ -63,8 +65,10 @@ def _texts(raw: DataFrame) -> DataFrame:
     return raw.withColumn("text", F.lower("text")).withColumn("text", _clean(F.col("text")))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+def _lines(texts: DataFrame, place: list[str]) -> DataFrame:
+    lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+    at = F.shiftleft(F.col("doc_id").cast("long"), 31).bitwiseOR(F.col("line_no"))
+    return lines.select(at.alias("at"), "line") if place == ["at"] else lines.select(*place, "line")
 
 
 def _words(line: Column) -> Column:
@@ -72,20 +76,24 @@ def _words(line: Column) -> Column:
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """An array literal: count class (quarters of a doubling, below 128) of each of 2^16 hash cells, in the top byte."""
-    cell = F.xxhash64("token").bitwiseAND(F.lit(_CELLS - 1))
-    counts = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("token")).where("token <> ''").groupBy(cell.cast("int").alias("cell")).count()
-    classes = ["0"] * _CELLS  # fixed size, whatever the input's
-    for r in counts.select("cell", F.least(F.lit(127), F.floor(F.log2(F.col("count")) * 4)).alias("c")).collect():
-        classes[r["cell"]] = str(r["c"] << 56)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
+    """An array literal by the first ``_CELL_BITS`` bits of a token's hash: what turns them, by exclusive or,
+    into the rank of that cell's count over all lines. Its size is fixed, whatever the input's."""
+    shift = 64 - _CELL_BITS
+    token = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("token")
+    counts = texts.select(token).where("token <> ''").groupBy(F.shiftrightunsigned(F.xxhash64("token"), shift).cast("int").alias("cell")).count()
+    order = Window.orderBy("count", "cell")  # one row a cell
+    turn = F.shiftleft(F.col("cell").bitwiseXOR(F.row_number().over(order) - 1).bitwiseXOR(F.lit(1 << _CELL_BITS - 1)).cast("long"), shift)
+    turns = counts.select("cell", turn.alias("turn"))
+    every = texts.sparkSession.range(1 << _CELL_BITS).select(F.col("id").cast("int").alias("cell")).join(turns, "cell", "left")
+    table = F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("turn", F.lit(0).cast("long")).alias("turn")))), lambda c: c["turn"])
+    return F.split(F.lit(every.select(F.array_join(table.cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
 
 
 def _keys(line: Column, rarity: Column) -> Column:
-    """Token keys in order: the class of the count above 56 bits of hash."""
+    """Token keys in order of their cells' counts: hashes with other first bits."""
     hashes = F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x)))
     # never null, so that plain numbers are sorted
-    key = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(_CELLS - 1))), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    key = lambda h: h.bitwiseXOR(F.coalesce(F.get(rarity, F.shiftrightunsigned(h, 64 - _CELL_BITS)), F.lit(0).cast("long")))
     return F.sort_array(F.transform(hashes, key))
 
 
@@ -98,21 +106,21 @@ def _may_match(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return (n1 * u >= n2 * t) & (n2 * u >= n1 * t) & (most * (t + u) >= (n1 + n2) * t)
 
 
-def _as(prefix: str) -> list[Column]:
-    return [F.col(c).alias(prefix + c) for c in _PLACE]
+def _as(prefix: str, columns: list[str]) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in columns]
 
 
-def _before(a: str, b: str) -> Column:
-    """Place ``a`` comes before place ``b`` (prefixes)."""
-    d, r, n = (f"{a}{c} {{}} {b}{c}" for c in _PLACE)
-    return F.expr(f"{d.format('<')} OR {d.format('=')} AND ({r.format('<')} OR {r.format('=')} AND {n.format('<')})")
+def _before(place: list[str]) -> Column:
+    """The place with the prefix ``a_`` comes before the other."""
+    return F.struct(*[F.col(f"a_{c}") for c in place]) < F.struct(*place) if len(place) > 1 else F.col(f"a_{place[0]}") < F.col(place[0])
 
 
-def _filter_of(places: DataFrame) -> Column:
-    """A Bloom filter of one hash over places: a test of the columns of ``_PLACE``. Its size follows the
-    number of places up to 2^24 bits; beyond, more lines than needed pass."""
+def _filter_of(pairs: DataFrame, place: list[str]) -> Column:
+    """A Bloom filter of one hash over both places of pairs: a test of the columns of ``place``. Its size
+    follows the number of pairs up to 2^24 bits; beyond, more lines than needed pass."""
+    places = pairs.select(*place).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in place]))
     bits = 1 << min(24, max(16, (8 * places.count()).bit_length()))
-    k = F.xxhash64(*_PLACE).bitwiseAND(F.lit(bits - 1))
+    k = F.xxhash64(*place).bitwiseAND(F.lit(bits - 1))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     words = ["0"] * (bits // 64)
     for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^18 rows
@@ -121,97 +129,101 @@ def _filter_of(places: DataFrame) -> Column:
     return F.get(table, F.shiftrightunsigned(k, 6)).bitwiseAND(one(k)) != 0
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*_PLACE).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in _PLACE]))
-
-
-def _join_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+def _join_both(pairs: DataFrame, rows: DataFrame, place: list[str], *columns: str) -> DataFrame:
     """``pairs`` with ``columns`` of both places (prefix ``a_`` of the earlier one's)."""
-    there = rows.select(*_as("a_"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    return pairs.join(rows.select(*_PLACE, *columns), _PLACE).join(there, [f"a_{c}" for c in _PLACE])
+    there = rows.select(*_as("a_", [*place, *columns]))
+    return pairs.join(rows.select(*place, *columns), place).join(there, [f"a_{c}" for c in place])
 
 
-def _matching(pairs: DataFrame, classes: DataFrame, raw: DataFrame, again: bool) -> DataFrame:
+def _matching(pairs: DataFrame, classes: DataFrame, raw: DataFrame, place: list[str]) -> DataFrame:
     """Of pairs of a place and an earlier one (prefix ``a_``), the places of those whose sets of words match.
 
-    First the positional filter: what two sets share lies in both prefixes, or beyond the one that ends
-    first. Then the words of the lines that are left are read and compared.
+    First the positional filter once more: what two sets share lies in both prefixes, or beyond the one that
+    ends first. Then the words of the lines that are left are read and compared.
     """
     t, u = THRESHOLD
-    both = _join_both(pairs, classes.where(_filter_of(_sides(pairs))), "n", "prefix")
+    both = _join_both(pairs, classes.where(_filter_of(pairs, place)), place, "n", "prefix")
     most = F.size(F.array_intersect("prefix", "a_prefix")) + F.greatest(F.col("n") - F.size("prefix"), F.col("a_n") - F.size("a_prefix"))
-    close = write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs", release=True)
-    lines = _lines(raw).where(_filter_of(_sides(close)))
-    if again:  # equal rows have equal places
-        lines = lines.dropDuplicates(_PLACE)
+    close = write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs")
+    lines = _lines(raw, place).where(_filter_of(close, place))
+    if "row" in place:  # equal rows have equal places
+        lines = lines.dropDuplicates(place)
     words = lambda c: F.array_distinct(_words(_clean(F.lower(c))))
-    both = _join_both(close, lines, "line").select(*_PLACE, words("line").alias("w"), words("a_line").alias("v"))
-    out = write_stage(both.where(F.size(F.array_intersect("w", "v")) * (t + u) >= (F.size("w") + F.size("v")) * t).select(*_PLACE).distinct(), "matched", release=True)
+    both = _join_both(close, lines, place, "line").select(*place, words("line").alias("w"), words("a_line").alias("v"))
+    out = write_stage(both.where(F.size(F.array_intersect("w", "v")) * (t + u) >= (F.size("w") + F.size("v")) * t).select(*place).distinct(), "matched")
     drop_stage(close)
     return out
 
 
-def _kept(docs: DataFrame, again: bool) -> DataFrame:
-    """The places of lines with words that no earlier line removes."""
+def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
+    """The places of lines that no earlier line removes; of blank ones, the first of all."""
     t, u = THRESHOLD
-    raw = _raw(docs, again)
+    raw = _raw(docs, place)
     texts = _texts(raw)
     rarity = _rarity(texts)
-    # explode keeps the optimizer from computing the keys anew for each column made of them
-    keyed = _lines(texts).select(*_PLACE, F.explode(F.array(_keys(F.col("line"), rarity))).alias("keys")).where("size(keys) > 0")
+    keyed = _lines(texts, place).withColumn("keys", _keys(F.col("line"), rarity))
     n = F.size("keys")
     # sets of fewer than 4 tokens can only match equal ones
     prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
-    keyed = keyed.select(*_PLACE, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"))
-    classes = keyed.groupBy("h1", "h2", "n").agg(F.min(F.struct(*_PLACE)).alias("f"), F.first("prefix").alias("prefix"))
-    classes = write_stage(classes.select(F.monotonically_increasing_id().alias("id"), "f.*", "n", "prefix"), "classes", release=True)
+    keyed = keyed.select(*place, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"))
+    first = F.struct(*place)
+    classes = keyed.groupBy("h1", "h2", "n").agg(F.min(first).alias("f"), F.first("prefix").alias("prefix"))
+    classes = write_stage(classes.select("f.*", "n", "prefix"), "classes")
 
     count = F.size("prefix") - 1
     grams = F.zip_with(F.slice("prefix", F.lit(1), count), F.slice("prefix", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
-    posted = classes.where("n >= 4").select("id", F.posexplode(grams).alias("p", "key"))
-    by_id = Window.partitionBy("key").orderBy("id")
-    met = posted.select("*", F.lag("id").over(by_id).alias("a"), F.lead("id").over(by_id).alias("b")).where("a IS NOT NULL OR b IS NOT NULL")
-    met = write_stage(met.select("id", "p", "key"), "met", release=True)  # keys of one class only are done with
-
-    placed = met.join(classes.select("id", *_PLACE, "n"), "id")
-    order = Window.partitionBy("key").orderBy(*_PLACE)
-    place = F.struct(*_PLACE, "n", "p")
-    placed = placed.select(*_PLACE, "n", "p", "key", F.lag(place).over(order).alias("near"), F.first(place).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
-    placed = write_stage(placed, "placed", release=True)
-    drop_stage(met)
-    looks = placed.where("near IS NOT NULL").select(*_PLACE, "n", "p", F.explode(F.array_distinct(F.array("near", "top"))).alias("a"))
-    pair = [*_PLACE, *[f"a_{c}" for c in _PLACE]]
-    looks = looks.where(_may_match(F.col("n"), F.col("p"), F.col("a.n"), F.col("a.p"))).groupBy(*_PLACE, *[F.col(f"a.{c}").alias(f"a_{c}") for c in _PLACE]).agg(F.count(F.lit(1)).alias("times"))
-    best = Window.partitionBy(*_PLACE).orderBy(F.desc("times"), *pair[3:])
-    near = write_stage(looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select(*pair), "near_pairs", release=True)
-    settled = _matching(near, classes, raw, again)
-
-    every = placed.select(*_PLACE, "n", "p", "key").join(settled.withColumn("done", F.lit(1)), _PLACE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    every = write_stage(every, "marked", release=True)
-    drop_stage(placed)
-    earlier = every.select(*_as("a_"), F.col("n").alias("a_n"), F.col("p").alias("a_p"), F.col("key").alias("a_key"))
-    far = every.where("done = 0").join(earlier, F.col("key") == F.col("a_key")).where(_before("a_", "") & _may_match(F.col("n"), F.col("p"), F.col("a_n"), F.col("a_p")))
-    far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs", release=True)
-    drop_stage(every, near)
-    late = _matching(far, classes, raw, again)
-    kept = write_stage(classes.select(*_PLACE).join(settled.unionByName(late), _PLACE, "left_anti"), "kept", release=True)
+    posted = classes.where("n >= 4").select(*place, "n", F.posexplode(grams).alias("p", "key"))
+    size = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("p")).alias("np")
+    # keys of one class only are done with
+    met = posted.select(*place, size, "key").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
+    order = Window.partitionBy("key").orderBy(*place)
+    at = F.struct(*place, "np")
+    met = met.select(*place, "np", "key", F.lag(at).over(order).alias("near"), F.first(at).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
+    met = write_stage(met, "met")
+
+    def may_match(a: str, b: str) -> Column:
+        n, p = (lambda c: F.shiftright(c, 31)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)))
+        return _may_match(n(a), p(a), n(b), p(b))
+
+    looks = met.where("near IS NOT NULL").select(*place, "np", F.explode(F.array_distinct(F.array("near", "top"))).alias("a")).where(may_match("np", "a.np"))
+    looks = looks.groupBy(*place, *[F.col(f"a.{c}").alias(f"a_{c}") for c in place]).agg(F.count(F.lit(1)).alias("times"))
+    pair = [*place, *[f"a_{c}" for c in place]]
+    best = Window.partitionBy(*place).orderBy(F.desc("times"), *[f"a_{c}" for c in place])
+    near = write_stage(looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select(*pair), "near_pairs")
+    settled = _matching(near, classes, raw, place)
+
+    every = met.select(*place, "np", "key").join(settled.withColumn("done", F.lit(1)), place, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    earlier = every.select(*_as("a_", [*place, "np", "key"]))
+    far = every.where("done = 0").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & may_match("np", "a_np"))
+    far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs")
+    drop_stage(met, near)
+    late = _matching(far, classes, raw, place)
+    kept = write_stage(classes.select(*place).join(settled.unionByName(late), place, "left_anti"), "kept")
     drop_stage(far, classes, settled, late)
     return kept
 
 
+def _names(kept: DataFrame, place: list[str]) -> DataFrame:
+    """doc_id, row and line_no from places."""
+    if place != ["at"]:
+        return kept
+    return kept.select(F.shiftright("at", 31).alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no) of every line that an earlier one removes; ``row`` as in ``_row``, line numbers from 0."""
-    again = _again(docs)
-    lines = _lines(_raw(docs, again)).where(F.ltrim("line", F.lit(_BLANK)) != "").select(*_PLACE).distinct()
-    return lines.join(_kept(docs, again), _PLACE, "left_anti")
+    """(doc_id, row, line_no) of every line that an earlier one removes; line numbers from 0, ``row`` a hash
+    of the text where doc_ids are not all different and below 2^32, or else 0."""
+    place = _place(docs)
+    lines = _lines(_raw(docs, place), place).where(F.ltrim("line", F.lit(_BLANK)) != "").select(*place).distinct()
+    return _names(lines.join(_kept(docs, place), place, "left_anti"), place)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and n_lines and n_removed added; an input
     column of one of those names stays as it is, and the number is left out."""
-    again = _again(docs)
-    kept = _kept(docs, again).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("kept"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), "doc_id", _row(again).alias("row"), "text")
+    place = _place(docs)
+    kept = _names(_kept(docs, place), place).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), F.col("doc_id"), _row(place), "text")
     # texts are not sorted for the join; rows that take no part do not meet in one task
     part = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     joined = rows.where(part).join(kept.hint("shuffle_hash"), ["doc_id", "row"], "left")
