@@ -4,7 +4,7 @@ A line is what stands between line feeds; its tokens are the distinct words of t
 is removed if an earlier line (by doc_id, then line number) has a Jaccard similarity of ``THRESHOLD`` or
 more to it, whether or not that earlier line stays itself.
 
-1. Tokens are ordered by rarity: their counts over all lines, by 2^18 hash cells, form a table of fixed
+1. Tokens are ordered by rarity: their counts over all lines, by 2^16 hash cells, form a table of fixed
    size; the order is by the cells' counts, then by hash, the same for all lines.
 2. Lines of equal token sets (128 bits of hash and the size) are one class; all but the first are removed.
 3. Classes meet on the pairs of neighbours in the rarest part of this order. If a and b tokens of two sets
@@ -13,9 +13,9 @@ more to it, whether or not that earlier line stays itself.
    most 2/5 of its size at the threshold: a prefix of that length, with two tokens a key instead of one, so
    that frequent tokens do not bring unlike lines together. Length and positional filters drop pairs of
    classes that can't reach the threshold; the others are verified on their whole sets of words.
-4. Each class is first compared with the one before it and the first one under each of its keys, of which
-   the two that it meets most often count; that settles groups of near copies in linear time. Only classes
-   that match none of those are joined with all earlier ones. So no group's pairs are all made, and none is lost.
+4. Each class is first compared with the one before it and the first one under each of its keys, which
+   settles groups of near copies in linear time. Only classes that match none of those are joined with all
+   earlier ones of a key. So no group's pairs are all made, and none is lost.
 
 Edge cases: blank lines stay and match nothing; null texts stay null; rows with a null doc_id stay whole
 and take no part; equal rows have the same places, and equal places never remove each other; different
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from foliowash.llm.common import drop_stage, write_stage
 
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
-_CELL_BITS = 18
+_CELL_BITS = 16
 _PLACE = ["doc_id", "row", "line_no"]
 _BLANK = " \t\v\f\r"
 
@@ -82,7 +82,7 @@ def _rarity(texts: DataFrame) -> Column:
     token = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("token")
     counts = texts.select(token).where("token <> ''").groupBy(F.shiftrightunsigned(F.xxhash64("token"), shift).cast("int").alias("cell")).count()
     order = Window.orderBy("count", "cell")  # one row a cell
-    turn = F.shiftleft(F.col("cell").bitwiseXOR(F.row_number().over(order) - 1).bitwiseXOR(F.lit(1 << _CELL_BITS - 1)).cast("long"), shift)
+    turn = F.shiftleft(F.col("cell").bitwiseXOR(F.row_number().over(order) - 1).bitwiseXOR(F.lit(1 << (_CELL_BITS - 1))).cast("long"), shift)
     turns = counts.select("cell", turn.alias("turn"))
     every = texts.sparkSession.range(1 << _CELL_BITS).select(F.col("id").cast("int").alias("cell")).join(turns, "cell", "left")
     table = F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("turn", F.lit(0).cast("long")).alias("turn")))), lambda c: c["turn"])
@@ -117,22 +117,25 @@ def _before(place: list[str]) -> Column:
 
 def _filter_of(pairs: DataFrame, place: list[str]) -> Column:
     """A Bloom filter of one hash over both places of pairs: a test of the columns of ``place``. Its size
-    follows the number of pairs up to 2^24 bits; beyond, more lines than needed pass."""
+    follows the number of pairs up to 2^22 bits; beyond, more lines than needed pass."""
     places = pairs.select(*place).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in place]))
-    bits = 1 << min(24, max(16, (8 * places.count()).bit_length()))
+    bits = 1 << min(22, max(16, (8 * places.count()).bit_length()))
     k = F.xxhash64(*place).bitwiseAND(F.lit(bits - 1))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     words = ["0"] * (bits // 64)
-    for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^18 rows
+    for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^16 rows
         words[r["w"]] = str(r["bits"])
     table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
     return F.get(table, F.shiftrightunsigned(k, 6)).bitwiseAND(one(k)) != 0
 
 
 def _join_both(pairs: DataFrame, rows: DataFrame, place: list[str], *columns: str) -> DataFrame:
-    """``pairs`` with ``columns`` of both places (prefix ``a_`` of the earlier one's)."""
-    there = rows.select(*_as("a_", [*place, *columns]))
-    return pairs.join(rows.select(*place, *columns), place).join(there, [f"a_{c}" for c in place])
+    """``pairs`` with ``columns`` of both places (prefixes ``b_`` and, of the earlier one, ``a_``). Both sides
+    are alike but for names, so that Spark reads and deals out ``rows`` once."""
+    later, earlier = (rows.select(*_as(x, [*place, *columns])) for x in ("b_", "c_"))
+    same = lambda x, y: [F.col(x + c) == F.col(y + c) for c in place]
+    both = pairs.join(later, same("", "b_")).join(earlier, same("a_", "c_"))
+    return both.select(*pairs.columns, *[f"b_{c}" for c in columns], *[F.col(f"c_{c}").alias(f"a_{c}") for c in columns])
 
 
 def _matching(pairs: DataFrame, classes: DataFrame, raw: DataFrame, place: list[str]) -> DataFrame:
@@ -143,13 +146,13 @@ def _matching(pairs: DataFrame, classes: DataFrame, raw: DataFrame, place: list[
     """
     t, u = THRESHOLD
     both = _join_both(pairs, classes.where(_filter_of(pairs, place)), place, "n", "prefix")
-    most = F.size(F.array_intersect("prefix", "a_prefix")) + F.greatest(F.col("n") - F.size("prefix"), F.col("a_n") - F.size("a_prefix"))
-    close = write_stage(both.where(most * (t + u) >= (F.col("n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs")
-    lines = _lines(raw, place).where(_filter_of(close, place))
+    most = F.size(F.array_intersect("b_prefix", "a_prefix")) + F.greatest(F.col("b_n") - F.size("b_prefix"), F.col("a_n") - F.size("a_prefix"))
+    close = write_stage(both.where(most * (t + u) >= (F.col("b_n") + F.col("a_n")) * t).select(*pairs.columns), "close_pairs")
+    lines = _lines(raw, place).where(_filter_of(close, place)).withColumn("line", F.lower("line")).withColumn("line", _clean(F.col("line")))
     if "row" in place:  # equal rows have equal places
         lines = lines.dropDuplicates(place)
-    words = lambda c: F.array_distinct(_words(_clean(F.lower(c))))
-    both = _join_both(close, lines, place, "line").select(*place, words("line").alias("w"), words("a_line").alias("v"))
+    words = lambda c: F.array_distinct(_words(F.col(c)))
+    both = _join_both(close, lines, place, "line").select(*place, words("b_line").alias("w"), words("a_line").alias("v"))
     out = write_stage(both.where(F.size(F.array_intersect("w", "v")) * (t + u) >= (F.size("w") + F.size("v")) * t).select(*place).distinct(), "matched")
     drop_stage(close)
     return out
@@ -178,7 +181,7 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     met = posted.select(*place, size, "key").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
     order = Window.partitionBy("key").orderBy(*place)
     at = F.struct(*place, "np")
-    met = met.select(*place, "np", "key", F.lag(at).over(order).alias("near"), F.first(at).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
+    met = met.select(*place, "np", "key", "times", F.lag(at).over(order).alias("near"), F.first(at).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
     met = write_stage(met, "met")
 
     def may_match(a: str, b: str) -> Column:
@@ -186,17 +189,17 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
         return _may_match(n(a), p(a), n(b), p(b))
 
     looks = met.where("near IS NOT NULL").select(*place, "np", F.explode(F.array_distinct(F.array("near", "top"))).alias("a")).where(may_match("np", "a.np"))
-    looks = looks.groupBy(*place, *[F.col(f"a.{c}").alias(f"a_{c}") for c in place]).agg(F.count(F.lit(1)).alias("times"))
     pair = [*place, *[f"a_{c}" for c in place]]
-    best = Window.partitionBy(*place).orderBy(F.desc("times"), *[f"a_{c}" for c in place])
-    near = write_stage(looks.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select(*pair), "near_pairs")
+    near = write_stage(looks.select(*place, *[F.col(f"a.{c}").alias(f"a_{c}") for c in place]).distinct(), "near_pairs")
     settled = _matching(near, classes, raw, place)
 
-    every = met.select(*place, "np", "key").join(settled.withColumn("done", F.lit(1)), place, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    # all pairs of up to three classes of a key are among those looked at
+    every = met.where("times > 3").select(*place, "np", "key").join(settled.withColumn("done", F.lit(1)), place, "left")
+    every = write_stage(every, "marked")
     earlier = every.select(*_as("a_", [*place, "np", "key"]))
-    far = every.where("done = 0").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & may_match("np", "a_np"))
+    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & may_match("np", "a_np"))
     far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs")
-    drop_stage(met, near)
+    drop_stage(met, near, every)
     late = _matching(far, classes, raw, place)
     kept = write_stage(classes.select(*place).join(settled.unionByName(late), place, "left_anti"), "kept")
     drop_stage(far, classes, settled, late)
