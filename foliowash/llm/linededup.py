@@ -25,6 +25,8 @@ other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,9 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
-def _rarity(texts: DataFrame) -> Column:
-    """An array literal by the first ``_CELL_BITS`` bits of a token's hash: what turns them, by exclusive or,
-    into the rank of that cell's count over all lines. Its size is fixed, whatever the input's."""
+def _rarity(texts: DataFrame) -> DataFrame:
+    """One row with an array by the first ``_CELL_BITS`` bits of a token's hash: what turns them, by exclusive
+    or, into the rank of that cell's count over all lines. Its size is fixed, whatever the input's."""
     shift = 64 - _CELL_BITS
     token = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("token")
     counts = texts.select(token).where("token <> ''").groupBy(F.shiftrightunsigned(F.xxhash64("token"), shift).cast("int").alias("cell")).count()
@@ -85,8 +87,13 @@ def _rarity(texts: DataFrame) -> Column:
     turn = F.shiftleft(F.col("cell").bitwiseXOR(F.row_number().over(order) - 1).bitwiseXOR(F.lit(1 << (_CELL_BITS - 1))).cast("long"), shift)
     turns = counts.select("cell", turn.alias("turn"))
     every = texts.sparkSession.range(1 << _CELL_BITS).select(F.col("id").cast("int").alias("cell")).join(turns, "cell", "left")
-    table = F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("turn", F.lit(0).cast("long")).alias("turn")))), lambda c: c["turn"])
-    return F.split(F.lit(every.select(F.array_join(table.cast("array<string>"), ",")).first()[0]), ",").cast("array<bigint>")
+    return _array(every.select("cell", F.coalesce("turn", F.lit(0).cast("long")).alias("value")), "cell")
+
+
+def _array(rows: DataFrame, index: str) -> DataFrame:
+    """One written row: the values in order of the index. It enters plans as a scalar subquery."""
+    pairs = F.sort_array(F.collect_list(F.struct(index, "value")))
+    return write_stage(rows.agg(F.transform(pairs, lambda c: c["value"]).alias("values")), "array")
 
 
 def _keys(line: Column, rarity: Column) -> Column:
@@ -117,16 +124,15 @@ def _before(place: list[str]) -> Column:
 
 def _filter_of(pairs: DataFrame, place: list[str]) -> Column:
     """A Bloom filter of one hash over both places of pairs: a test of the columns of ``place``. Its size
-    follows the number of pairs up to 2^22 bits; beyond, more lines than needed pass."""
+    follows the number of pairs up to 2^24 bits; beyond, more lines than needed pass."""
     places = pairs.select(*place).unionByName(pairs.select(*[F.col(f"a_{c}").alias(c) for c in place]))
-    bits = 1 << min(22, max(16, (8 * places.count()).bit_length()))
+    bits = 1 << min(24, max(16, (8 * places.count()).bit_length()))
     k = F.xxhash64(*place).bitwiseAND(F.lit(bits - 1))
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    words = ["0"] * (bits // 64)
-    for r in places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("w")).agg(F.bit_or(one(F.col("k"))).alias("bits")).collect():  # at most 2^16 rows
-        words[r["w"]] = str(r["bits"])
-    table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
-    return F.get(table, F.shiftrightunsigned(k, 6)).bitwiseAND(one(k)) != 0
+    words = places.select(k.alias("k")).groupBy(F.shiftrightunsigned("k", 6).cast("int").alias("word")).agg(F.bit_or(one(F.col("k"))).alias("bits"))
+    every = pairs.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    table = _array(every.select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("value")), "word")
+    return F.get(table.scalar(), F.shiftrightunsigned(k, 6)).bitwiseAND(one(k)) != 0
 
 
 def _join_both(pairs: DataFrame, rows: DataFrame, place: list[str], *columns: str) -> DataFrame:
@@ -164,7 +170,8 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     raw = _raw(docs, place)
     texts = _texts(raw)
     rarity = _rarity(texts)
-    keyed = _lines(texts, place).withColumn("keys", _keys(F.col("line"), rarity))
+    # a subquery can't stand in a lambda function, but the optimizer puts it there
+    keyed = _lines(texts, place).withColumn("turns", rarity.scalar()).withColumn("keys", _keys(F.col("line"), F.col("turns"))).drop("turns")
     n = F.size("keys")
     # sets of fewer than 4 tokens can only match equal ones
     prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
@@ -194,10 +201,11 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     settled = _matching(near, classes, raw, place)
 
     # all pairs of up to three classes of a key are among those looked at
-    every = met.where("times > 3").select(*place, "np", "key").join(settled.withColumn("done", F.lit(1)), place, "left")
+    every = met.where("times > 3").select(*place, "np", "key", "near", "top").join(settled.withColumn("done", F.lit(1)), place, "left")
     every = write_stage(every, "marked")
     earlier = every.select(*_as("a_", [*place, "np", "key"]))
-    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & may_match("np", "a_np"))
+    looked = [reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"{by}.{c}") for c in place]) for by in ("near", "top")]
+    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & ~looked[0] & ~looked[1] & may_match("np", "a_np"))
     far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs")
     drop_stage(met, near, every)
     late = _matching(far, classes, raw, place)
