@@ -15,7 +15,7 @@ more to it, whether or not that earlier line stays itself.
    classes that can't reach the threshold; the others are verified on their whole sets of words.
 4. Each class is first compared with the one before it and the first one under each of its keys, which
    settles groups of near copies in linear time. Only classes that match none of those are joined with all
-   earlier ones of a key. So no group's pairs are all made, and none is lost.
+   earlier ones of a key, where a 64-bit parity sketch of the whole set drops most unlike pairs. So no group's pairs are all made, and none is lost.
 
 Edge cases: blank lines stay and match nothing; null texts stay null; rows with a null doc_id stay whole
 and take no part; equal rows have the same places, and equal places never remove each other; different
@@ -104,6 +104,11 @@ def _keys(line: Column, rarity: Column) -> Column:
     return F.sort_array(F.transform(hashes, key))
 
 
+def _sketch(keys: Column) -> Column:
+    """64 bits, of which each token flips one: two sketches differ in no more bits than their sets in tokens."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _may_match(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     """Length and positional filter: necessary for overlap / (n1 + n2 - overlap) >= 4 / 5, that is
     9 * overlap >= 4 * (n1 + n2), where the first shared pair of neighbours has the places p1 and p2. The tokens
@@ -175,10 +180,10 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     n = F.size("keys")
     # sets of fewer than 4 tokens can only match equal ones
     prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
-    keyed = keyed.select(*place, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"))
+    keyed = keyed.select(*place, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"), _sketch(F.col("keys")).alias("bits"))
     first = F.struct(*place)
-    classes = keyed.groupBy("h1", "h2", "n").agg(F.min(first).alias("f"), F.first("prefix").alias("prefix"))
-    classes = write_stage(classes.select("f.*", "n", "prefix"), "classes")
+    classes = keyed.groupBy("h1", "h2", "n", "bits").agg(F.min(first).alias("f"), F.first("prefix").alias("prefix"))
+    classes = write_stage(classes.select("f.*", "n", "bits", "prefix"), "classes")
 
     count = F.size("prefix") - 1
     grams = F.zip_with(F.slice("prefix", F.lit(1), count), F.slice("prefix", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
@@ -201,11 +206,13 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     settled = _matching(near, classes, raw, place)
 
     # all pairs of up to three classes of a key are among those looked at
-    every = met.where("times > 3").select(*place, "np", "key", "near", "top").join(settled.withColumn("done", F.lit(1)), place, "left")
+    every = met.where("times > 3").select(*place, "np", "key", "near", "top").join(settled.withColumn("done", F.lit(1)), place, "left").join(classes.select(*place, "bits"), place)
     every = write_stage(every, "marked")
-    earlier = every.select(*_as("a_", [*place, "np", "key"]))
+    earlier = every.select(*_as("a_", [*place, "np", "key", "bits"]))
+    # sets at the threshold differ in a ninth of their sizes' sum at most
+    near_bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) * (t + u) <= (F.shiftright("np", 31) + F.shiftright("a_np", 31)) * (u - t)
     looked = [reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"{by}.{c}") for c in place]) for by in ("near", "top")]
-    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & ~looked[0] & ~looked[1] & may_match("np", "a_np"))
+    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & ~looked[0] & ~looked[1] & may_match("np", "a_np") & near_bits)
     far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs")
     drop_stage(met, near, every)
     late = _matching(far, classes, raw, place)
