@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,33 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(run):
+    """Wraps a function of batches, so that its worker is trimmed when the task ends."""
+
+    @functools.wraps(run)
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return of
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Deletes written stage tables that nothing reads any more."""
     for table in tables:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import components, write_stage
+from foliowash.llm.common import components, tidy, write_stage
 from foliowash.llm.simhash import forest
 from foliowash.llm.vectors import dots, from_binary, matrix, of_common_size, to_binary, usable
 
@@ -237,7 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, column: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), to_binary(m)], names=["vec_id", "label", "u"])
 
     label = vectors.schema["label"].dataType.simpleString()
-    units = write_stage(part.mapInArrow(unit, f"vec_id long, label {label}, u binary"), "units")
+    units = write_stage(part.mapInArrow(tidy(unit), f"vec_id long, label {label}, u binary"), "units")
     # exact copies are one class; salting first keeps a class of very many copies out of one task
     salted = units.groupBy("label", "u", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = salted.groupBy("label", "u").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"))

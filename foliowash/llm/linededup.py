@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import drop_stage, write_stage
+from foliowash.llm.common import drop_stage, quoted, write_stage
 
 THRESHOLD = (4, 5)  # 0.8, in whole numbers
 _CELL_BITS = 16
@@ -241,7 +241,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     column of one of those names stays as it is, and the number is left out."""
     place = _place(docs)
     kept = _names(_kept(docs, place), place).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("kept"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"), F.col("doc_id"), _row(place), "text")
+    rows = docs.select(F.struct(*quoted(docs)).alias("input"), F.col("doc_id"), _row(place), "text")
     # texts are not sorted for the join; rows that take no part do not meet in one task
     part = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     joined = rows.where(part).join(kept.hint("shuffle_hash"), ["doc_id", "row"], "left")

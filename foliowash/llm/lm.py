@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowash.llm.bytewords import arrow_bytes, slices, words_of
-from foliowash.llm.common import fold, partitions_for, write_stage
+from foliowash.llm.common import fold, partitions_for, tidy, write_stage
 from foliowash.llm.eliasfano import EliasFano
 
 BLOCK_BYTES, LEAST, DISCOUNT = 5 << 20, 2, 0.75
@@ -70,7 +70,7 @@ def blocks(docs: DataFrame, train: str = "train") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "data": pa.array([packed], pa.binary())})
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, "text").mapInArrow(run, "block long, data binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, "text").mapInArrow(tidy(run), "block long, data binary")
 
 
 class Block:
@@ -140,7 +140,7 @@ def requests(table: DataFrame, n_shards: int) -> DataFrame:
                     load.append(_squeeze(b.words[w].astype("<u8"), b.count[w].astype("<u4"), n_pairs.astype("<u4"), _five(b.words[b.next[p]]), b.pair_count[p].astype("<u4")))
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([number] * len(of), pa.int64()), pa.array(load, pa.binary())], names=["shard", "block", "data"])
 
-    return table.select("block", "data").mapInArrow(run, "shard int, block long, data binary")
+    return table.select("block", "data").mapInArrow(tidy(run), "shard int, block long, data binary")
 
 
 class Trie:

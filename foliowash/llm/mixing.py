@@ -13,7 +13,7 @@ under its threshold and by shuffle beyond it.
 
 Edge cases: null texts have size 0; null sources are one source, last in order; a document of size 0
 takes no words; rows of one doc_id and size share a rank and are taken together; null doc_ids share a
-rank as well; an empty table gives an empty result; other columns are kept.
+rank as well; an empty table gives an empty result; ``mix_rows`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import WORD_PATTERN, write_stage
+from foliowash.llm.common import WORD_PATTERN, quoted, write_stage
 
 WEIGHTS = (3, 1, 2)
 FACTOR = 1.5
@@ -111,20 +111,31 @@ def apply(rows: DataFrame, planned: tuple[DataFrame, DataFrame], seed: int = 17,
     return out.withColumn("copies", F.col("_whole") + extra).select(*rows.columns, "source_size", "target", "copies")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of every document, written once: later steps don't read the texts again."""
-    return write_stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+def _weight(weight_col: str | None) -> list[Column]:
+    return [F.col(f"`{weight_col}`").cast("double").alias("_weight")] if weight_col else []
+
+
+def _options(options: dict, *names: str) -> dict:
+    named = options | ({"weight_col": "_weight"} if options.get("weight_col") else {})
+    return {k: v for k, v in named.items() if not names or k in names}
+
+
+def sizes(docs: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """doc_id, source, size and the weight of every document, written once: later steps don't read the texts again."""
+    return write_stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *_weight(weight_col)), "sizes")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document."""
-    sized = sizes(docs)
-    return apply(sized, plan(sized, **options), **{k: v for k, v in options.items() if k in ("seed", "most", "weight_col")}).withColumn("taken", F.col("copies") * F.col("size"))
+    sized = sizes(docs, options.get("weight_col"))
+    out = apply(sized, plan(sized, **_options(options)), **_options(options, "seed", "most", "weight_col"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_weight")
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    planned = plan(sizes(docs), **options)
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    out = apply(rows, planned, **{k: v for k, v in options.items() if k in ("seed", "most", "weight_col")})
-    return out.where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    sized = sizes(docs, options.get("weight_col"))
+    rows = docs.select(F.struct(*quoted(docs)).alias("input"), "doc_id", "source", word_count(F.col("text")).alias("size"), *_weight(options.get("weight_col")))
+    out = apply(rows, plan(sized, **_options(options)), **_options(options, "seed", "most", "weight_col"))
+    again = out.where("copies > 0").select("input", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select(*[F.col("input").getField(c).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import write_stage
+from foliowash.llm.common import tidy, write_stage
 from foliowash.llm.vectors import dots, from_binary, matrix, of_common_size, to_binary, usable
 
 SAMPLE, LEAF_ROWS, BRANCH, BLOCK_ROWS, GROUP = 20_000, 256, 8, 16_384, 2_048
@@ -141,7 +141,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             m = matrix(batch.column(1), size)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tree.assign(m).astype(np.int32)), to_binary(m)], names=["vec_id", "asks", "leaf", "data"])
 
-    placed = write_stage(rows.select("vec_id", "v", "asks").mapInArrow(place, "vec_id long, asks boolean, leaf int, data binary"), "leaves")
+    placed = write_stage(rows.select("vec_id", "v", "asks").mapInArrow(tidy(place), "vec_id long, asks boolean, leaf int, data binary"), "leaves")
     visits, measured = calibrate(placed, tree, size, k, recall, audits, n_queries)
     if info is not None:
         info |= {"leaves": tree.leaves, "visits": visits, "recall": measured}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import write_stage
+from foliowash.llm.common import tidy, write_stage
 from foliowash.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 4096
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(cut), PIECES)
 
 
 def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foliowash.llm.bytewords import arrow_bytes, slices
-from foliowash.llm.common import fold, write_stage
+from foliowash.llm.common import fold, quoted, tidy, write_stage
 from foliowash.llm.toxicity import THRESHOLD, chosen_labels, platt
 
 MAX_DOCS = 3000
@@ -203,7 +204,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(net.log_odds(batch.column(1)), -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, **options) -> DataFrame:
@@ -213,13 +214,14 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, *
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, least: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts; columns and repeated rows stay."""
+    """The rows of ``docs`` that the classifier accepts; all columns and repeated rows stay."""
     net = train(docs, labels.where(fold(F.col("doc_id"), folds) != held), **options)
-    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            p = 1 / (1 + np.exp(-np.clip(net.log_odds(batch.column(at)), -700, 700)))
-            yield batch.filter(pa.array(p >= least))
+            p = 1 / (1 + np.exp(-np.clip(net.log_odds(batch.column(1)), -700, 700)))
+            yield batch.filter(pa.array(p >= least)).select([0])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*quoted(docs)).alias("input"), "text")
+    kept = rows.mapInArrow(tidy(run), StructType([StructField("input", docs.schema)]))
+    return kept.select(*[F.col("input").getField(c).alias(c) for c in docs.columns])

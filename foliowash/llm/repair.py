@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowash.llm.common import partitions_for, write_stage
+from foliowash.llm.common import partitions_for, tidy, write_stage
 from foliowash.llm.tokens import default_vocabulary, encoder
 
 _HEAD = struct.Struct("<4sI5Q")
@@ -176,7 +176,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
             yield flush()
 
     ranged = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return write_stage(ranged.mapInArrow(blocks, BLOCKS), "token_blocks")
+    return write_stage(ranged.mapInArrow(tidy(blocks), BLOCKS), "token_blocks")
 
 
 def read(table: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def read(table: DataFrame) -> DataFrame:
                     names=["shard", "block", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    rows = table.select("shard", "block", "data").mapInArrow(decode, "shard int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = table.select("shard", "block", "data").mapInArrow(tidy(decode), "shard int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     sizes = table.select("shard", "block", "n_ids")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", before(Window.orderBy("shard")).alias("shard_start"))

@@ -22,12 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowash.llm import minhash
 from foliowash.llm.bytewords import slices, spaced, words
-from foliowash.llm.common import components, write_stage
+from foliowash.llm.common import components, quoted, tidy, write_stage
 
 SHINGLE, ERRORS = 3, 2
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = fingerprints_of(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def trie_join(values: np.ndarray, errors: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def links(classes: DataFrame, errors: int = ERRORS) -> DataFrame:
                 out.append(pd.DataFrame({"a": r[by][far], "b": r[by][label[far]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
-    dealt = classes.mapInArrow(deal, "plan int, head long, turned long, rep long")
+    dealt = classes.mapInArrow(tidy(deal), "plan int, head long, turned long, rep long")
     # heads that share a bucket are joined in one trie: values of different heads may then link too, which
     # is right as every pair is compared on all its bits
     buckets = max(16, min(100_000, classes.count() * len(plans) // 20_000))
@@ -207,14 +207,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERROR
 
 def keep_one(docs: DataFrame, shingle: int = minhash.SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates (``minhash``: similarity 0.8 or more): of each component
-    the row with its smallest doc_id stays, once if that row is repeated. Rows with a null doc_id take no
-    part and stay."""
-    found = write_stage(minhash.near_duplicates(docs, shingle), "components")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_times"))
-    kept = write_stage(kept, "kept")
+    the first row stays, by doc_id and then by a hash of the text, which tells texts of one doc_id apart;
+    once if it is repeated. Rows with a null doc_id take no part and stay. All columns are kept, whatever
+    their names; of rows equal in doc_id and text that differ elsewhere, any one stays."""
+    kept = minhash.first_of_each(docs, shingle).withColumnRenamed("doc_id", "kept_id")
     known = F.col("doc_id").isNotNull()
-    out = docs.where(known).join(kept, F.col("doc_id") == F.col("_kept_id"))
-    if kept.where("_times > 1").limit(1).count():
-        first = Window.partitionBy("_kept_id").orderBy(F.xxhash64("text"))
-        out = out.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return out.select(*docs.columns).unionByName(docs.where(~known))
+    rows = docs.where(known).select(F.struct(*quoted(docs)).alias("input"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64("text").alias("row"))
+    # the kept rows are numbers only: the texts need not be sorted to meet them
+    rows = rows.join(kept.hint("shuffle_hash"), ["kept_id", "row"])
+    again = rows.where("times > 1").groupBy("kept_id", "row").agg(F.first("input").alias("input"))
+    out = rows.where("times = 1").select("input").unionByName(again.select("input"))
+    return out.select(*[F.col("input").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where(~known))

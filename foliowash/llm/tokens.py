@@ -17,7 +17,7 @@ from foliowash.llm.bytewords import slices
 
 END_ID = 1
 _SEPARATOR = "\x01"
-_AT_ONCE = 40_000
+_AT_ONCE = 20_000
 
 
 def default_vocabulary() -> str:
@@ -27,15 +27,18 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Keeps the ids of up to ``cache`` distinct chunks between calls; results do not depend on it."""
+    """Keeps the ids of distinct chunks between calls, up to ``cache`` bytes: those seen first, which the most
+    frequent ones are among. Results do not depend on it."""
 
-    def __init__(self, path: str, cache: int = 1_200_000):
+    def __init__(self, path: str, cache: int = 6 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.cache = cache
-        self._clear()
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.empty(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
         self.separator = self._plain(_SEPARATOR)
         if len(self.separator) != 1:
             raise ValueError("this vocabulary has no single id for the separator")
@@ -43,11 +46,6 @@ class Encoder:
     def _plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.ids = np.empty(0, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
-
     def _encode_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and their bounds."""
         odd = pc.or_(pc.match_substring(chunks, "<|"), pc.match_substring(chunks, _SEPARATOR)).to_numpy(zero_copy_only=False)
@@ -84,26 +82,25 @@ class Encoder:
         place = pc.index_in(chunks, value_set=self.known)
         new = chunks.filter(pc.is_null(place))
         place = np.asarray(place.fill_null(-1)).astype(np.int64)
+        flat, at = self.ids, self.bounds
         if len(new):
-            if len(self.known) + len(new) > self.cache:
-                self._clear()
-                new, place = chunks, np.full(len(chunks), -1)
             ids, bounds = self._encode_new(new)
             place[place < 0] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-            self.ids = np.concatenate([self.ids, ids])
+            flat, at = np.concatenate([flat, ids]), np.concatenate([at, at[-1] + bounds[1:]])
+            known = pa.concat_arrays([self.known, new])
+            if known.nbytes + flat.nbytes + at.nbytes <= self.cache:
+                self.known, self.ids, self.bounds = known, flat, at
         place = place[code]
-        size = self.bounds[place + 1] - self.bounds[place]
+        size = at[place + 1] - at[place]
         total = np.concatenate([[0], np.cumsum(size)])
-        out = self.ids[np.arange(total[-1]) + np.repeat(self.bounds[place] - total[:-1], size)]
+        out = flat[np.arange(total[-1]) + np.repeat(at[place] - total[:-1], size)]
         bounds = total[first - first[0]]
         if end_id is not None:
             out = np.insert(out, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
         return out, bounds
 
-    def runs(self, texts: pa.Array, limit: int = 8 << 20):
+    def runs(self, texts: pa.Array, limit: int = 4 << 20):
         """(from, to, ids, bounds) of row ranges of at most ``limit`` bytes of text, or one row."""
         for i, j in slices(texts, limit):
             yield i, j, *self.encode(texts[i:j])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowash.llm.bytewords import mix, slices, words
-from foliowash.llm.common import fold, write_stage
+from foliowash.llm.common import fold, tidy, write_stage
 
 MAX_DOCS = 4000
 WINDOW = 3
@@ -123,7 +123,7 @@ def count_expressions(docs: DataFrame) -> DataFrame:
                         names=["before", "word", "n0", "n1"],
                     )
 
-    rows = docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "before long, word long, n0 long, n1 long")
+    rows = docs.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(tidy(run), "before long, word long, n0 long, n1 long")
     return rows.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:

@@ -365,3 +365,61 @@ def test_pipeline(spark, sf_dir, odd):
     for name, stage in p.STAGES:
         stage(spark, odd, sf_dir).count()
         stage(spark, odd.limit(0), sf_dir).count()
+
+
+#: Names that operators use inside, and odd ones.
+CLASH = ["size", "copies", "target", "source_size", "taken", "_e", "_c1", "_again", "_s", "_p", "_weight", "n", "n_lines", "n_removed", "_gone", "gone", "kept", "kept_id", "_kept_id", "_times", "times", "row", "input", "id", "part", "places", "parts", "component", "node", "shard", "fill", "train", "block", "length", "score", "label", "at", "keys", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(k, t, "en", "ab"[k % 2], 0, *[f"{c}{k}" for c in CLASH]) for k, t in enumerate(ODD)]
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    fields = [("doc_id", LongType()), ("text", StringType()), ("lang", StringType()), ("source", StringType()), ("n_chars", LongType())]
+    return spark.createDataFrame(rows, StructType([StructField(n, t) for n, t in fields + [(c, StringType()) for c in CLASH]]))
+
+
+def test_clashing_columns_are_kept(clashing, labels, spark, sf_dir):
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES[1:-1]:
+        out = stage(spark, clashing, sf_dir)
+        assert out.columns == clashing.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASH)
+    assert quality.keep_good(clashing, labels).columns == clashing.columns
+    n = clashing.count()
+    assert p.STAGES[-1][1](spark, clashing, sf_dir).count() >= n
+    for run in (lambda d: toxicity.toxicity(d, labels), lambda d: quality.quality(d, labels), packing.pack_documents, lm.language_model_scores, simhash.near_duplicates, lambda d: repair.read(repair.write(d)), linededup.dedup_lines, mixing.mix):
+        assert run(clashing).count() >= n
+
+
+def test_keep_one_with_repeated_ids(spark, odd):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], odd.schema)
+    left = lambda rows: sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(make(rows)).collect())
+    assert left([(3, a), (3, b), (5, c)]) == [(3, a), (3, b), (5, c)]
+    assert left([(1, b), (3, a), (3, b)]) == [(1, b), (3, a)]
+    assert left([(2, a)] * 5 + [(4, a), (None, a)][:1]) == [(2, a)]
+
+
+def test_line_dedup_with_repeated_ids(spark, odd):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(1, f"{a}\n{b}"), (1, f"{b}\nother words in this line"), (1, f"{a}\n{b}"), (None, a), (2, a), (1 << 40, a)]
+    out = linededup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], odd.schema)).collect()
+    of = collections.defaultdict(list)
+    for r in out:
+        of[r["doc_id"]].append(r["text"])
+    assert of[None] == [a] and of[2] == [""] and of[1 << 40] == [""] and len(of[1]) == 3
+    lines = [x for t in of[1] for x in t.split("\n") if x]
+    assert lines.count("other words in this line") == 1 and lines.count(a) == 2 and lines.count(b) in (1, 2)
+
+
+def test_unequal_weights(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w " * 10).alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 1.2).otherwise(0.4).alias("size"))
+    m = mixing.mix(rows, weights=(1,), factor=0.5, weight_col="size").toPandas()
+    even = m["doc_id"] % 2 == 0
+    assert abs(m["taken"].sum() - 20_000) <= 10 and set(m["copies"]) == {0, 1}
+    assert 2.4 < m[even]["copies"].mean() / m[~even]["copies"].mean() < 3.6
+    assert mixing.mix_rows(rows, weights=(1,), factor=0.5, weight_col="size").count() == m["copies"].sum()
