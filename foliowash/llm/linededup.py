@@ -13,8 +13,8 @@ more to it, whether or not that earlier line stays itself.
    most 2/5 of its size at the threshold: a prefix of that length, with two tokens a key instead of one, so
    that frequent tokens do not bring unlike lines together. Length and positional filters drop pairs of
    classes that can't reach the threshold; the others are verified on their whole sets of words.
-4. Each class is first compared with the one before it and the first one under each of its keys, which
-   settles groups of near copies in linear time. Only classes that match none of those are joined with all
+4. Each class is first compared with the two before it, the first one and the one of most copies under
+   each of its keys, which settles groups of near copies in linear time. Only classes that match none of those are joined with all
    earlier ones of a key, where a 64-bit parity sketch of the whole set drops most unlike pairs. So no group's pairs are all made, and none is lost.
 
 Edge cases: blank lines stay and match nothing; null texts stay null; rows with a null doc_id stay whole
@@ -182,37 +182,41 @@ def _kept(docs: DataFrame, place: list[str]) -> DataFrame:
     prefix = F.when(n >= 4, F.slice("keys", F.lit(1), F.floor(n * (2 * (u - t)) / u).cast("int") + 2))
     keyed = keyed.select(*place, n.alias("n"), F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), prefix.alias("prefix"), _sketch(F.col("keys")).alias("bits"))
     first = F.struct(*place)
-    classes = keyed.groupBy("h1", "h2", "n", "bits").agg(F.min(first).alias("f"), F.first("prefix").alias("prefix"))
-    classes = write_stage(classes.select("f.*", "n", "bits", "prefix"), "classes")
+    classes = keyed.groupBy("h1", "h2", "n", "bits").agg(F.min(first).alias("f"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"))
+    classes = write_stage(classes.select("f.*", "n", "bits", "prefix", F.floor(F.log2("lines")).alias("copies")), "classes")
 
     count = F.size("prefix") - 1
     grams = F.zip_with(F.slice("prefix", F.lit(1), count), F.slice("prefix", F.lit(2), count), lambda x, y: F.xxhash64(x, y))
-    posted = classes.where("n >= 4").select(*place, "n", F.posexplode(grams).alias("p", "key"))
-    size = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("p")).alias("np")
+    posted = classes.where("n >= 4").select(*place, "n", "copies", F.posexplode(grams).alias("p", "key"))
+    # the size, the place in the prefix and the number of copies in one number
+    about = F.shiftleft(F.col("n").cast("long"), 34).bitwiseOR(F.shiftleft(F.col("p").cast("long"), 6)).bitwiseOR(F.col("copies")).alias("about")
     # keys of one class only are done with
-    met = posted.select(*place, size, "key").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
+    met = posted.select(*place, about, "key").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
     order = Window.partitionBy("key").orderBy(*place)
-    at = F.struct(*place, "np")
-    met = met.select(*place, "np", "key", "times", F.lag(at).over(order).alias("near"), F.first(at).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("top"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*place, "about")
+    most = F.max(F.struct(F.col("about").bitwiseAND(F.lit(63)).alias("copies"), at.alias("at"))).over(before)["at"]
+    met = met.select(*place, "about", "key", "times", F.lag(at, 1).over(order).alias("last"), F.lag(at, 2).over(order).alias("other"), F.first(at).over(before).alias("top"), most.alias("most"))
     met = write_stage(met, "met")
+    size = lambda c: F.shiftright(c, 34)
 
     def may_match(a: str, b: str) -> Column:
-        n, p = (lambda c: F.shiftright(c, 31)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)))
-        return _may_match(n(a), p(a), n(b), p(b))
+        p = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit((1 << 28) - 1))
+        return _may_match(size(a), p(a), size(b), p(b))
 
-    looks = met.where("near IS NOT NULL").select(*place, "np", F.explode(F.array_distinct(F.array("near", "top"))).alias("a")).where(may_match("np", "a.np"))
+    looks = met.where("last IS NOT NULL").select(*place, "about", F.explode(F.array_distinct(F.array_compact(F.array("last", "other", "top", "most")))).alias("a")).where(may_match("about", "a.about"))
     pair = [*place, *[f"a_{c}" for c in place]]
     near = write_stage(looks.select(*place, *[F.col(f"a.{c}").alias(f"a_{c}") for c in place]).distinct(), "near_pairs")
     settled = _matching(near, classes, raw, place)
 
-    # all pairs of up to three classes of a key are among those looked at
-    every = met.where("times > 3").select(*place, "np", "key", "near", "top").join(settled.withColumn("done", F.lit(1)), place, "left").join(classes.select(*place, "bits"), place)
+    # all pairs of up to four classes of a key are among those looked at
+    every = met.where("times > 4").select(*place, "about", "key", "last", "other", "top").join(settled.withColumn("done", F.lit(1)), place, "left").join(classes.select(*place, "bits"), place)
     every = write_stage(every, "marked")
-    earlier = every.select(*_as("a_", [*place, "np", "key", "bits"]))
+    earlier = every.select(*_as("a_", [*place, "about", "key", "bits"]))
     # sets at the threshold differ in a ninth of their sizes' sum at most
-    near_bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) * (t + u) <= (F.shiftright("np", 31) + F.shiftright("a_np", 31)) * (u - t)
-    looked = [reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"{by}.{c}") for c in place]) for by in ("near", "top")]
-    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & ~looked[0] & ~looked[1] & may_match("np", "a_np") & near_bits)
+    near_bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) * (t + u) <= (size("about") + size("a_about")) * (u - t)
+    new = reduce(lambda x, y: x & y, [~F.coalesce(F.struct(*[F.col(f"a_{c}") for c in place]) == F.struct(*[F.col(f"{by}.{c}") for c in place]), F.lit(False)) for by in ("last", "other", "top")])
+    far = every.where("done IS NULL").join(earlier, F.col("key") == F.col("a_key")).where(_before(place) & new & may_match("about", "a_about") & near_bits)
     far = write_stage(far.select(*pair).distinct().join(near, pair, "left_anti"), "far_pairs")
     drop_stage(met, near, every)
     late = _matching(far, classes, raw, place)
