@@ -28,7 +28,20 @@ def first_by(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def stratified_split(items: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """Adds ``val``: of each class the first fifth (at least one) by md5 of the key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    share = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(label)) / 5))
-    return items.withColumn("val", (F.row_number().over(order) <= share).cast("int"))
+    """Adds ``val``: of each class the first fifth (at least one) by md5 of the key, then by the key.
+
+    Ranks are counted by 2^16 cells of the hash; only the one cell of a class in which its share ends is sorted.
+    """
+    digest = F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))
+    cell = F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(0))
+    rows = items.withColumn("_digest", digest).withColumn("_cell", cell)
+    counts = rows.groupBy(F.col(label).alias("_class"), "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_class")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_share", F.greatest(F.lit(1), F.floor(F.sum("_n").over(whole) / 5)))
+    edge = counts.where("_before < _share AND _before + _n >= _share").select("_class", F.col("_cell").alias("_edge"), (F.col("_share") - F.col("_before")).alias("_left"))
+    rows = rows.join(edge, F.col(label).eqNullSafe(F.col("_class")))
+    order = Window.partitionBy("_class").orderBy("_digest", key)
+    border = rows.where("_cell = _edge").withColumn("val", (F.row_number().over(order) <= F.col("_left")).cast("int"))
+    others = rows.where("_cell <> _edge").withColumn("val", (F.col("_cell") < F.col("_edge")).cast("int"))
+    return border.unionByName(others).select(*items.columns, "val")

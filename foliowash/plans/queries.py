@@ -131,35 +131,6 @@ def pair_iou(s, d):
     return met.select("page", "o_id", "h_id", F.round(i.cast("double") / (B.area("o_") + B.area("h_") - i), 6).alias("iou"))
 
 
-@query("hw_union_coverage_all", f"""WITH {V.ALL_OCR_HW}, px AS (SELECT DISTINCT o.page, o.id, yy, xx FROM (SELECT o.page, o.id, greatest(o.x, h.x) AS x1, least(o.x + o.w, h.x + h.w) AS x2, greatest(o.y, h.y) AS y1, least(o.y + o.h, h.y + h.h) AS y2
-  FROM ocr o JOIN hw h ON o.page = h.page AND {_OVER}) o, unnest(range(y1, y2)) AS a(yy), unnest(range(x1, x2)) AS b(xx))
-SELECT o.page, o.id AS o_id, count(*)::BIGINT AS covered, (count(*) * 100 >= any_value(o.w * o.h) * 30) AS is_hw FROM px JOIN ocr o USING (page, id) GROUP BY o.page, o.id""")
-def hw_union_coverage_all(s, d):
-    o = V.named(V.printed(s, d), "o_")
-    covered = OB.union_coverage(o, V.named(V.handwritten(s, d), "h_"))
-    return covered.join(o, ["page", "o_id"]).select("page", "o_id", "covered", (c("covered") * 100 >= B.area("o_") * 30).alias("is_hw"))
-
-
-@query("hw_semi_all", f"WITH {V.ALL_OCR_HW} SELECT page, id FROM ocr o WHERE EXISTS (SELECT 1 FROM hw h WHERE o.page = h.page AND {_OVER})")
-def hw_semi_all(s, d):
-    met = OB.overlapping(V.named(V.printed(s, d), "o_"), V.named(V.handwritten(s, d), "h_"), "o_", "h_")
-    return met.select("page", c("o_id").alias("id")).distinct()
-
-
-@query("hw_anti_all", f"WITH {V.ALL_OCR_HW} SELECT page, id FROM ocr o WHERE NOT EXISTS (SELECT 1 FROM hw h WHERE o.page = h.page AND {_OVER})")
-def hw_anti_all(s, d):
-    o = V.named(V.printed(s, d), "o_")
-    met = OB.overlapping(o, V.named(V.handwritten(s, d), "h_"), "o_", "h_").select("page", "o_id").distinct()
-    return o.join(met, ["page", "o_id"], "left_anti").select("page", c("o_id").alias("id"))
-
-
-@query("pair_iou_all", f"""WITH {V.ALL_OCR_HW} SELECT page, o_id, h_id, round(i * 1.0::DOUBLE / (a + b - i), 6) AS iou FROM (SELECT o.page, o.id AS o_id, h.id AS h_id, o.w * o.h AS a, h.w * h.h AS b, (least(o.x + o.w, h.x + h.w) - greatest(o.x, h.x)) * (least(o.y + o.h, h.y + h.h) - greatest(o.y, h.y)) AS i FROM ocr o JOIN hw h ON o.page = h.page AND {_OVER})""")
-def pair_iou_all(s, d):
-    met = OB.overlapping(V.named(V.printed(s, d), "o_"), V.named(V.handwritten(s, d), "h_"), "o_", "h_")
-    i = B.overlap("o_", "h_")
-    return met.select("page", "o_id", "h_id", F.round(i.cast("double") / (B.area("o_") + B.area("h_") - i), 6).alias("iou"))
-
-
 @query("prob_banding", f"WITH {V.BOXES}, p AS (SELECT id, CASE WHEN pick = 3 THEN NULL ELSE score_pct END AS prob_pct FROM boxes) SELECT id, CASE WHEN prob_pct IS NULL THEN 'printed' WHEN prob_pct >= 50 THEN 'handwriting' WHEN prob_pct <= 5 THEN 'printed' ELSE 'uncertain' END AS route FROM p")
 def prob_banding(s, d):
     p = F.when(c("pick") == 3, F.lit(None)).otherwise(c("score_pct"))
@@ -409,6 +380,11 @@ def vector_score(s, d):
 # dense kernels: no SQL form; tests hold them against other implementations ---------------------------
 
 
+def _page_ids(s, d) -> DataFrame:
+    """Ids are light and pages heavy, so ids are dealt out before any page is made."""
+    return V.read(s, d, "supplier").select(c("s_suppkey").cast("long").alias("page_id")).repartition(4 * s.sparkContext.defaultParallelism, "page_id")
+
+
 def _synthetic(s, d, height: int = 260, width: int = 320) -> DataFrame:
     """Small pages with a printed line and a coloured stroke, one per supplier."""
     from foliowash.schemas import PAGES
@@ -428,7 +404,7 @@ def _synthetic(s, d, height: int = 260, width: int = 320) -> DataFrame:
                 data.append(page.tobytes())
             yield pd.DataFrame({"page_id": pdf["page_id"], "origin": "synthetic", "fmt": "image", "height": height, "width": width, "n_channels": 3, "data": data})
 
-    return V.read(s, d, "supplier").select(c("s_suppkey").cast("long").alias("page_id")).mapInPandas(draw, PAGES)
+    return _page_ids(s, d).mapInPandas(draw, PAGES)
 
 
 @query("clean_pages")
@@ -451,7 +427,7 @@ def nms_greedy(s, d):
         pdf = pdf.sort_values("id", kind="stable")
         return pdf.iloc[nms(pdf[["x", "y", "w", "h"]].to_numpy(), pdf["score_pct"].to_numpy(np.float64), 0.45)][["page", "id"]]
 
-    return V.handwritten(s, d).select("page", "id", "x", "y", "w", "h", "score_pct").groupBy("page").applyInPandas(run, "page long, id string")
+    return V.hw(s, d).select("page", "id", "x", "y", "w", "h", "score_pct").groupBy("page").applyInPandas(run, "page long, id string")
 
 
 @query("components_area")
@@ -488,4 +464,4 @@ def page_crop(s, d):
                 rows.append((k, info.cropped, out.shape[0], out.shape[1], info.warning))
             yield pd.DataFrame(rows, columns=["page_id", "cropped", "height", "width", "warning"])
 
-    return V.read(s, d, "supplier").select(c("s_suppkey").cast("long").alias("page_id")).mapInPandas(run, "page_id long, cropped boolean, height int, width int, warning string")
+    return _page_ids(s, d).mapInPandas(run, "page_id long, cropped boolean, height int, width int, warning string")

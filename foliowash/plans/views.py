@@ -36,27 +36,16 @@ def named(df: DataFrame, p: str) -> DataFrame:
 
 
 def ocr(spark, sf_dir) -> DataFrame:
-    return boxes(spark, sf_dir).where("flag <> 'R' AND pick = 0")
-
-
-def hw(spark, sf_dir) -> DataFrame:
-    return boxes(spark, sf_dir).where("flag = 'R' AND pick % 5 = 0")
-
-
-OCR_HW = BOXES + """, ocr AS (SELECT * FROM boxes WHERE flag <> 'R' AND pick = 0), hw AS (SELECT * FROM boxes WHERE flag = 'R' AND pick % 5 = 0)"""
-
-
-def printed(spark, sf_dir) -> DataFrame:
-    """All printed boxes; ``ocr`` has 1 in 35 of them."""
+    """All printed boxes."""
     return boxes(spark, sf_dir).where("flag <> 'R'")
 
 
-def handwritten(spark, sf_dir) -> DataFrame:
-    """All handwriting boxes; ``hw`` has 1 in 5 of them."""
+def hw(spark, sf_dir) -> DataFrame:
+    """All handwriting boxes."""
     return boxes(spark, sf_dir).where("flag = 'R'")
 
 
-ALL_OCR_HW = BOXES + """, ocr AS (SELECT * FROM boxes WHERE flag <> 'R'), hw AS (SELECT * FROM boxes WHERE flag = 'R')"""
+OCR_HW = BOXES + """, ocr AS (SELECT * FROM boxes WHERE flag <> 'R'), hw AS (SELECT * FROM boxes WHERE flag = 'R')"""
 
 WIDTH, HEIGHT = 60, 40
 

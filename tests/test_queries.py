@@ -17,7 +17,7 @@ def test_query(spark, sf_dir, name):
 def test_box_queries_take_all_boxes(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = lines.where("l_returnflag <> 'R'").count()
-    assert QUERIES["hw_semi_all"](spark, sf_dir).count() + QUERIES["hw_anti_all"](spark, sf_dir).count() == n
+    assert QUERIES["hw_semi"](spark, sf_dir).count() + QUERIES["hw_anti"](spark, sf_dir).count() == n
     area = lambda b: b["w"] * b["h"]
 
     def iou(a, b):
