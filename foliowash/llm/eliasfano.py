@@ -81,12 +81,30 @@ class EliasFano:
             todo = todo[n[todo] <= left[todo]]
         return (word << 6) + _select_in_word(part, left)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first value >= x or n, whether it equals x)."""
+    def values(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        ones = np.arange(len(self.zeros)) * (64 * _SAMPLE) - self.zeros  # set bits before each sample
+        part_of = np.searchsorted(ones, i, "right") - 1
+        left, word = i - ones[part_of], part_of * _SAMPLE
+        n = np.bitwise_count(self.high[word]).astype(np.int64)
+        todo = np.flatnonzero(n <= left)
+        while len(todo):
+            left[todo] -= n[todo]
+            word[todo] += 1
+            n[todo] = np.bitwise_count(self.high[word[todo]])
+            todo = todo[n[todo] <= left[todo]]
+        top = (word << 6) + _select_in_word(self.high[word], left) - i
+        return (top.astype(np.uint64) << np.uint64(self.width)) | self._low_at(i)
+
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first value >= x or n, whether it equals x); of the values from ``first`` to before
+        ``last`` only, if they are given."""
         x = x.astype(np.uint64)
         top = (x >> np.uint64(self.width)).astype(np.int64)
         lo = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) - top + 1, 0)
         hi = self._zero(top) - top
+        if first is not None:
+            lo, hi = np.maximum(lo, first), np.minimum(hi, last)
         want = x & np.uint64((1 << self.width) - 1)
         end = hi.copy()
         todo = np.flatnonzero(lo < hi)

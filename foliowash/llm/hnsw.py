@@ -3,7 +3,7 @@
 Vectors of one label are dealt over shards of about ``SHARD_ROWS``; each shard gets a graph of its own,
 stored as one binary row. Every vector of the label queries every shard of it. Searches run for many
 queries at once: a beam is widened while even its last member is a link, and for the whole cell until a
-recall audit against brute force (``AUDITS`` queries a cell) passes. Every reported link's cosine is
+recall audit against brute force (of so many queries that ``AUDITS`` links, or half the cell, are seen) passes. Every reported link's cosine is
 verified in double precision. A cell returns each query's number of links and a spanning forest of the
 links, not the links themselves, so a group of n near copies makes n rows. Exact copies are one class with
 a count, and components are united at the end.
@@ -26,7 +26,7 @@ from foliowash.llm.common import components, tidy, write_stage
 from foliowash.llm.simhash import forest
 from foliowash.llm.vectors import dots, from_binary, matrix, of_common_size, to_binary, usable
 
-THRESHOLD, SHARD_ROWS, QUERY_ROWS, AUDITS = 0.98, 6_144, 32_768, 64
+THRESHOLD, SHARD_ROWS, QUERY_ROWS, AUDITS = 0.98, 6_144, 2_048, 64
 _M, _MOST, _BUILD_BEAM, _BEAM = 12, 24, 32, 16
 
 
@@ -200,9 +200,17 @@ class Graph:
         return (np.concatenate(got_q), np.concatenate(got_n)) if got_q else (np.empty(0, np.int64),) * 2
 
     def audited(self, q: np.ndarray, threshold: float, beam: int = _BEAM, audits: int = AUDITS, least: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
-        """``within``, with beams widened until a sample of queries misses at most 1 % of its links."""
-        pick = np.unique(np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int))
-        true = int((q[pick] @ self.x.T >= threshold).sum())
+        """``within``, with beams widened until a sample of queries misses at most 1 % of its links. The sample
+        grows until it holds ``audits`` links or is half of all queries; a cell whose sample has none is searched
+        with a beam four times as wide."""
+        true, size = 0, audits
+        while true < audits:
+            pick = np.unique(np.linspace(0, len(q) - 1, min(size, len(q))).astype(int))
+            true = sum(int((q[pick[a : a + 512]] @ self.x.T >= threshold).sum()) for a in range(0, len(pick), 512))
+            if 2 * len(pick) >= len(q):
+                break
+            size *= 4
+        beam *= 1 if true else 4
         while beam < len(self.x):
             if len(self.within(q[pick], threshold, beam)[0]) >= least * true:
                 return self.within(q, threshold, beam)

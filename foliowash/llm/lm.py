@@ -5,8 +5,9 @@ contexts with their training counts and its distinct (context, next word) pairs
 exchange that grows with the corpus. A shard adds the counts of all blocks and builds a trie of contexts
 and the next words seen at least ``least`` times: monotone Elias-Fano levels for the contexts, the
 pointers to their successors, and the successors relative to their context, beside probabilities
-quantised to 8 bits. The levels are written to a file, mapped into memory and searched for the pairs of
-each block; the answers go back to the blocks, which score their texts. So no task ever holds the whole
+quantised to 8 bits. The levels are written to a file and mapped into memory; for each block's pairs, the
+context is looked up, its pointers give the range of its successors, and the next word's successor is
+searched there. The answers go back to the blocks, which score their texts. So no task ever holds the whole
 model, counts cover every training text, and nothing but two totals reaches the driver.
 
 P(w | v) = q(v w) + g(v) (c(w) + 1) / (N + V + 1), where q is the quantised (c(v w) - D) / c(v), rounded
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowash.llm.bytewords import arrow_bytes, slices, words_of
-from foliowash.llm.common import fold, partitions_for, tidy, write_stage
+from foliowash.llm.common import drop_stage, fold, partitions_for, tidy, trim, write_stage
 from foliowash.llm.eliasfano import EliasFano
 
 BLOCK_BYTES, LEAST, DISCOUNT = 5 << 20, 2, 0.75
@@ -144,25 +145,29 @@ def requests(table: DataFrame, n_shards: int) -> DataFrame:
 
 
 class Trie:
-    """Contexts, pointers and successors of one shard, in a file that is mapped into memory."""
+    """One shard's contexts with their training counts and leftover mass, pointers to their successors, and
+    the successors with their codes, in a file that is mapped into memory."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    KINDS = ("<u8", "<f4", "u1")  # counts, log10 of the leftover mass, codes
+
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, counts: np.ndarray, level: np.ndarray, codes: np.ndarray):
+        self.contexts, self.pointers, self.successors = contexts, pointers, successors
+        self.counts, self.level, self.codes = counts, level, codes
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pair_counts: np.ndarray, least: int = LEAST) -> tuple[Trie, np.ndarray]:
-        """From sorted words with counts, and sorted keys (word's rank << 40 | next word); also g of each word."""
+    def build(cls, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pair_counts: np.ndarray, least: int = LEAST) -> Trie:
+        """From sorted words with counts, and sorted keys (word's rank << 40 | next word) with theirs."""
         kept = pair_counts >= least
         keys, n = keys[kept], pair_counts[kept].astype(float)
         before = (keys >> np.uint64(_BITS)).astype(np.int64)
         code = np.ceil(-np.log10((n - DISCOUNT) / counts[before]) / _PER_STEP - 1e-9).clip(0, _STEPS).astype(np.uint8)
         free = 1 - np.bincount(before, 10.0 ** (-_PER_STEP * code), len(words))
         pointers = np.searchsorted(before, np.arange(len(words) + 1))
-        trie = cls(EliasFano.encode(words >> np.uint64(8), 1 << 56), EliasFano.encode(pointers, len(keys) + 1), EliasFano.encode(keys, max(1, len(words)) << _BITS), code)
-        return trie, np.maximum(free, 1e-6)
+        levels = (EliasFano.encode(words, 1 << 64), EliasFano.encode(pointers, len(keys) + 1), EliasFano.encode(keys, max(1, len(words)) << _BITS))
+        return cls(*levels, counts.astype("<u8"), np.log10(np.maximum(free, 1e-6)).astype("<f4"), code)
 
     def save(self, path: str) -> None:
-        arrays = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.codes]
+        arrays = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.counts, self.level, self.codes]
         with open(path, "wb") as out:
             out.write(np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes())
             for a in arrays:
@@ -174,51 +179,72 @@ class Trie:
         n = int(raw[:8].view("<i8")[0])
         sizes, at, parts = raw[8 : 8 * (n + 1)].view("<i8").tolist(), 8 * (n + 1), []
         for k, size in enumerate(sizes):
-            piece = raw[at : at + size]
-            parts.append(piece if k == n - 1 else piece.view("<i8" if k % 4 in (0, 3) else "<u8"))
+            kind = cls.KINDS[k - 12] if k >= 12 else "<i8" if k % 4 in (0, 3) else "<u8"
+            parts.append(raw[at : at + size].view(kind))
             at += size + -size % 8
-        return cls(EliasFano.of(parts[0:4]), EliasFano.of(parts[4:8]), EliasFano.of(parts[8:12]), parts[12])
-
-    def find(self, context: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """Codes of (context rank, next word) pairs, ``_NONE`` where the trie hasn't them: the successor of
-        the next word among those of its context."""
-        at, same = self.successors.successor((context.astype(np.uint64) << np.uint64(_BITS)) | following)
-        out = np.full(len(at), _NONE, dtype=np.uint8)
-        out[same] = self.codes[at[same]]
+        return cls(EliasFano.of(parts[0:4]), EliasFano.of(parts[4:8]), EliasFano.of(parts[8:12]), *parts[12:])
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        """Places of words among the contexts, which all of them are in."""
+        return self.contexts.successor(words)[0]
+
+    def find(self, rank: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """Codes of next words after the contexts of these ranks, ``_NONE`` where the trie hasn't the pair: the
+        successor of the next word among those that the context's pointers span."""
+        first, last = (self.pointers.values(rank + k).astype(np.int64) for k in (0, 1))
+        out = np.full(len(rank), _NONE, dtype=np.uint8)
+        some = np.flatnonzero(first < last)
+        if len(some):
+            at, same = self.successors.successor((rank[some].astype(np.uint64) << np.uint64(_BITS)) | following[some], first[some], last[some])
+            out[some[same]] = self.codes[at[same]]
         return out
 
 
+_REQUEST = ("<u8", "<u4", "<u4", "u1", "<u4")
+
+
+def _built(requests: list[bytes], least: int) -> Trie:
+    """The trie of all blocks' counts."""
+    opened = [_open(d, *_REQUEST) for d in requests]
+    words, at = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([o[1] for o in opened]), len(words)).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(o[0]) for o in opened])])
+    keys, weights = [], []
+    for k, o in enumerate(opened):
+        seen = o[4] > 0
+        keys.append(((np.repeat(at[bounds[k] : bounds[k + 1]], o[2]).astype(np.uint64) << np.uint64(_BITS)) | _from_five(o[3]))[seen])
+        weights.append(o[4][seen])
+    del opened, at
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    total = np.add.reduceat(weights.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    return Trie.build(words, counts, keys[first], total, least)
+
+
 def answers(asked: DataFrame, least: int = LEAST) -> DataFrame:
     """(block, shard, data): counts, log10 g and codes in the request's order; block -1 has a shard's totals."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        opened = [_open(d, "<u8", "<u4", "<u4", "u1", "<u4") for d in pdf["data"]]
-        words, at = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([o[1] for o in opened]), len(words)).astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(o[0]) for o in opened])])
-        asks = [((np.repeat(at[bounds[k] : bounds[k + 1]], o[2]).astype(np.uint64) << np.uint64(_BITS)) | _from_five(o[3])) for k, o in enumerate(opened)]
-        some = [(a[o[4] > 0], o[4][o[4] > 0]) for a, o in zip(asks, opened, strict=True)]
-        keys, weights = (np.concatenate(x) for x in zip(*some, strict=True))
-        order = np.argsort(keys)
-        keys, weights = keys[order], weights[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        total = np.add.reduceat(weights.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-        trie, free = Trie.build(words, counts, keys[first], total, least)
         with tempfile.TemporaryDirectory() as folder:  # this task's own scratch file, gone at its end
-            trie.save(os.path.join(folder, "trie"))
-            trie = Trie.load(os.path.join(folder, "trie"))
-            level = np.log10(free).astype("<f4")
-            rows = []
-            for k, o in enumerate(opened):
-                mine = at[bounds[k] : bounds[k + 1]]
-                code = trie.find((asks[k] >> np.uint64(_BITS)).astype(np.int64), asks[k] & np.uint64((1 << _BITS) - 1))
-                rows.append(_squeeze(counts[mine].astype("<u8"), level[mine], code))
+            _built(pdf["data"].tolist(), least).save(os.path.join(folder, "trie"))
+            trie = Trie.load(os.path.join(folder, "trie"))  # all that answers
+            rows, mark = [], trie.rank(np.array([_START]))[0]
+            for data in pdf["data"]:
+                words, _, n_pairs, following, _ = _open(data, *_REQUEST)
+                rank = trie.rank(words)
+                rows.append(_squeeze(trie.counts[rank], trie.level[rank], trie.find(np.repeat(rank, n_pairs), _from_five(following))))
+            counts = np.array(trie.counts)
+            # the start mark is no token
+            if mark < trie.contexts.n and trie.contexts.values(np.array([mark]))[0] == _START:
+                counts[mark] = 0
             del trie
-        token = words != _START
-        totals = _squeeze(np.array([counts[token].sum(), (counts[token] > 0).sum()], "<i8"))
+        trim()
         shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame({"block": [*pdf["block"].tolist(), -1], "shard": [shard] * (len(rows) + 1), "data": [*rows, totals], "n": [0] * len(rows) + [int(counts[token].sum())], "v": [0] * len(rows) + [int((counts[token] > 0).sum())]})
+        none = [0] * len(rows)
+        return pd.DataFrame({"block": [*pdf["block"].tolist(), -1], "shard": [shard] * (len(rows) + 1), "data": [*rows, b""], "n": [*none, int(counts.sum())], "v": [*none, int((counts > 0).sum())]})
 
     return asked.groupBy("shard").applyInPandas(run, "block long, shard int, data binary, n long, v long")
 

@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on a bounded sample (``SAMPLE`` rows by hash); every row is then put in a leaf. A query
-walks the tree with a priority queue keyed by the largest inner product that a node's ball allows, and
+walks the tree with a priority queue keyed by the inner product with a node's centre and what its spread
+(root mean square of the sample's distances) may add, and
 visits as many leaves as calibration asks for: for a few queries all rows are searched by brute force, and
 visits are widened until the wanted share of true neighbours lies in the visited leaves. Leaves are grouped
-in blocks of bounded size, so rows move once per group of queries and a query moves once per block.
+in blocks of bounded size; rows move once per group of ``GROUP`` queries, so what moves grows with rows
+times queries, and a query moves once per block that it visits.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
 those of another length than most; a row never finds rows of its own vec_id; repeated rows are found once; fewer candidates than k give

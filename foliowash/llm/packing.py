@@ -4,7 +4,7 @@
 Pieces are dealt by hash to shards of about ``per_shard`` pieces. Each shard starts from best fit in
 decreasing order; then local search moves documents, and swaps one for one or two for one, from the
 emptiest underfull bin into fuller ones. Each step raises the sum of squared fills, so it ends; a bin
-that becomes empty goes. What stays in underfull bins of all shards is packed once more together.
+that becomes empty goes, and a bin that can't be emptied is tried again after another one has gone. What stays in underfull bins of all shards is packed once more together.
 
 Edge cases: null texts are empty documents of one token (the end id); repeated rows are packed as
 separate documents; null doc_ids keep their rows; an empty table gives an empty result; other columns
@@ -77,8 +77,9 @@ def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(length: np.ndarray, bins: list[list[int]], capacity: int, donors: int = 8) -> list[list[int]]:
-    """Empties the emptiest bins by moves, one-for-one and two-for-one exchanges with fuller bins."""
+def local_search(length: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Empties underfull bins, the emptiest first, by moves, one-for-one and two-for-one exchanges with fuller
+    bins, until the fewest possible are left or none of them can be emptied."""
     least = -(-int(length.sum()) // capacity)
     failed: set[int] = set()
     fill = np.array([int(length[b].sum()) for b in bins], dtype=np.int64)
@@ -86,11 +87,12 @@ def local_search(length: np.ndarray, bins: list[list[int]], capacity: int, donor
     where = np.empty(len(length), dtype=np.int64)
     for k, b in enumerate(bins):
         where[b] = k
-    while live.sum() > least and len(failed) < donors:
-        order = [k for k in np.argsort(np.where(live, fill, capacity + 1), kind="stable")[: donors + 1].tolist() if live[k] and k not in failed]
-        if not order or fill[order[0]] >= capacity:
+    while live.sum() > least:
+        rank = np.where(live, fill, capacity)
+        rank[list(failed)] = capacity
+        donor = int(np.argmin(rank))
+        if rank[donor] >= capacity:
             break
-        donor = order[0]
         others = np.flatnonzero(live[where] & (fill[where] < capacity) & (where != donor) & (fill[where] >= fill[donor]))
         bin_of, size = where[others], length[others]
         while bins[donor]:
@@ -118,8 +120,13 @@ def local_search(length: np.ndarray, bins: list[list[int]], capacity: int, donor
             if not len(others):
                 break
             limit, best, choice = room[bin_of], 0, None
-            offers = [(int(length[x]), (x,)) for x in mine]
-            offers += [(int(length[x] + length[y]), (x, y)) for i, x in enumerate(mine) for y in mine[i + 1 :]][:2000]
+            # equal lengths are as good as each other: one offer for each sum
+            one = np.array(mine)
+            i, j = np.triu_indices(len(one), 1)
+            pairs, at = np.unique(length[one[i]] + length[one[j]], return_index=True)
+            single, at_one = np.unique(length[one], return_index=True)
+            offers = [(int(n), (mine[k],)) for n, k in zip(single, at_one, strict=True)]
+            offers += [(int(n), (mine[i[k]], mine[j[k]])) for n, k in zip(pairs, at, strict=True)]
             for given, items in offers:
                 gain = given - size
                 gain[(gain > limit) | (bin_of == donor)] = 0
@@ -157,7 +164,9 @@ def pack_lengths(length: np.ndarray, capacity: int = CAPACITY) -> list[list[int]
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_shard: int = 32768) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` column of 1 to ``capacity`` tokens."""
     columns = rows.columns
-    rows = write_stage(rows, "pieces")
+    # numbers that differ for equal rows too, so that no group of them is one shard's
+    number = next(n for n in (f"number{k}" for k in range(len(columns) + 1)) if n not in columns)
+    rows = write_stage(rows.withColumn(number, F.monotonically_increasing_id()), "pieces")
     count = rows.count()
     shards = max(1, -(-count // per_shard))
 
@@ -176,9 +185,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_shard: int = 32768) -> D
 
         return place
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != number) + ", sequence_id long, offset long"
     result = schema + ", fill long"
-    shard = lambda n: F.pmod(F.xxhash64(*[c for c in columns if c in ("doc_id", "piece", "start", "length")]), F.lit(n))
+    shard = lambda n: F.pmod(F.xxhash64(number), F.lit(n))
     one = rows.withColumn("shard", shard(shards)).groupBy("shard").applyInPandas(placed(0), result)
     if shards == 1:
         return one.drop("fill")
@@ -187,7 +196,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_shard: int = 32768) -> D
     edge = F.col("fill") < int(capacity * 0.98)
     left = one.where(edge)
     again = max(1, -(-left.count() // per_shard))
-    two = left.select(*columns).withColumn("shard", shard(again)).groupBy("shard").applyInPandas(placed(shards), result)
+    two = left.select(*columns).withColumn(number, F.monotonically_increasing_id()).withColumn("shard", shard(again)).groupBy("shard").applyInPandas(placed(shards), result)
     return one.where(~edge).unionByName(two).drop("fill")
 
 

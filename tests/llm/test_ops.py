@@ -423,3 +423,121 @@ def test_unequal_weights(spark):
     assert abs(m["taken"].sum() - 20_000) <= 10 and set(m["copies"]) == {0, 1}
     assert 2.4 < m[even]["copies"].mean() / m[~even]["copies"].mean() < 3.6
     assert mixing.mix_rows(rows, weights=(1,), factor=0.5, weight_col="size").count() == m["copies"].sum()
+
+
+def test_pieces_equal_the_library(docs, odd):
+    e = encoder(default_vocabulary()).library
+    for df in (docs, odd):
+        want = collections.Counter()
+        for r in df.select("doc_id", "text").collect():
+            ids = e.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+            want.update((r["doc_id"], k // 512, k, len(ids[k : k + 512]), zlib.crc32(np.array(ids[k : k + 512], "<u4").tobytes())) for k in range(0, len(ids), 512))
+        assert collections.Counter(tuple(r) for r in packing.pieces(df, capacity=512).collect()) == want
+
+
+def test_document_by_id(docs):
+    e = encoder(default_vocabulary()).library
+    table = repair.write(docs, block_ids=20_000, shards=3)
+    for r in docs.orderBy(F.desc("doc_id")).limit(5).collect():
+        got = repair.document(table, r["doc_id"])
+        assert [g.tolist() for g in got] == [e.encode(r["text"], add_special_tokens=False).ids + [1]]
+    assert repair.document(table, -5) == []
+
+
+def test_trie_answers_from_its_file(tmp_path):
+    rng = np.random.default_rng(9)
+    words_ = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    counts = rng.integers(50, 100, len(words_))
+    keys = np.unique((rng.integers(0, len(words_) - 5, 4000).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 40, 4000).astype(np.uint64))
+    made = lm.Trie.build(words_, counts, keys, rng.integers(1, 9, len(keys)), 2)
+    made.save(str(tmp_path / "trie"))
+    codes, t = made.codes.copy(), lm.Trie.load(str(tmp_path / "trie"))
+    kept = t.successors.values(np.arange(t.successors.n))
+    assert np.isin(kept, keys).all() and (t.contexts.values(np.arange(len(words_))) == words_).all()
+    assert (t.rank(words_) == np.arange(len(words_))).all() and (t.counts == counts).all()
+    asked = np.concatenate([keys, keys + np.uint64(1)])
+    got = t.find((asked >> np.uint64(40)).astype(np.int64), asked & np.uint64((1 << 40) - 1))
+    where = dict(zip(kept.tolist(), codes.tolist(), strict=True))
+    assert got.tolist() == [where.get(k, 255) for k in asked.tolist()]
+
+
+def test_toxicity_likelihoods_by_dictionaries(spark):
+    """The ratios that the model looks up, recomputed with dictionaries from the class-conditional counts."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(300):
+        t = ["the", "cat", "sat", "on", "a", "mat", "and", "ran"]
+        toxic = k % 3 == 0
+        text = [t[i] for i in rng.integers(0, 8, 30)] + (["you", "vile", "fool"] if toxic else ["you", "kind", "friend"])
+        rows.append((k, " ".join(text), int(toxic)))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counts = toxicity.count_expressions(docs_.select(F.col("toxic").alias("label"), "text"))
+    model = toxicity.fit_models(counts, 300, least_share=0.0)
+    one, two = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for _, text, y in rows:
+        w = text.split()
+        for x in set(w):
+            one[x][y] += 1
+        for x in set(zip(w, w[1:], strict=False)):
+            two[x][y] += 1
+    after = collections.Counter(b for (_, b), v in two.items() if v[0])
+
+    def discount(table, c):
+        n1, n2 = (sum(v[c] == k for v in table.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    kept = [x for x, v in one.items() if sum(v) >= 5]
+    base = {x: 0.95 * after[x] / sum(after.values()) + 0.05 / (len(one) + 1) for x in kept}
+    p, rest = [{}, {}], [0, 0]
+    for c in (0, 1):
+        d, total = discount(one, c), sum(v[c] for v in one.values())
+        high = {x: max(one[x][c] - d, 0) / total for x in kept}
+        rest[c] = max(1e-9, 1 - sum(high.values()))
+        p[c] = {x: high[x] + rest[c] * base[x] for x in kept}
+    hashes = {x: words(pa.array([x])).hashes()[0] for x in one}
+    for x in kept:
+        assert model.word_ratio[np.searchsorted(model.word, hashes[x])] == pytest.approx(math.log(p[1][x] / p[0][x]))
+    common = [x for x, v in two.items() if sum(v) >= 5]
+    free, high = [{}, {}], [{}, {}]
+    for c in (0, 1):
+        d = discount(two, c)
+        sums = collections.Counter()
+        for (a, _), v in two.items():
+            sums[a] += v[c]
+        for a, b in common:
+            high[c][a, b] = max(two[a, b][c] - d, 0) / max(1, sums[a])
+            free[c][a] = free[c].get(a, 1.0) - high[c][a, b]
+    for a, b in common:
+        ratio = [high[c][a, b] + max(1e-9, free[c][a]) * p[c][b] for c in (0, 1)]
+        at = np.searchsorted(model.pair, toxicity.pair_hash(np.array([hashes[a]]), np.array([hashes[b]]))[0])
+        assert model.pair_ratio[at] == pytest.approx(math.log(ratio[1] / ratio[0]))
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    lab = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), lab).where("held_out").join(lab, "doc_id").toPandas()
+    assert got[got["toxic"] == 1]["predicted"].mean() >= 0.7 and got[got["toxic"] == 0]["predicted"].mean() <= 0.02
+
+
+def test_neighbours_keep_order_and_scores(spark):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(200, 8)), 1)
+    x[50:60] = x[40]  # ties
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, k=500, recall=1.0).toPandas()
+    for q, mine in got.groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        want = [j for j in np.lexsort((np.arange(200), -s)) if j != q]
+        mine = mine.sort_values("rank")
+        assert mine["vec_id"].tolist() == want and mine["score"].to_numpy() == pytest.approx(s[want], abs=1e-12)
+
+
+def test_embedding_dedup_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + 0.01 * rng.normal(size=(200, 16))
+    df = spark.createDataFrame([(k, [float(v) for v in r], 1) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 50)
+    got = hnsw.near_duplicates(df, shard_rows=60).toPandas().set_index("vec_id")
+    assert all(got.loc[k, "n_links"] == 1 and got.loc[k, "component_id"] == k % 200 for k in range(400))
