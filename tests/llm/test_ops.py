@@ -435,6 +435,22 @@ def test_pieces_equal_the_library(docs, odd):
         assert collections.Counter(tuple(r) for r in packing.pieces(df, capacity=512).collect()) == want
 
 
+def test_long_texts_cross_slices(spark, odd):
+    rng = np.random.default_rng(8)
+    w = [f"w{k}" for k in rng.integers(0, 5000, 1_000_000)]  # over 5 MB
+    long = " ".join(w)
+    df = spark.createDataFrame([(0, long, "en", "s", 0), (1, "short one", "en", "s", 0), (2, long + " x", "en", "s", 0)], odd.schema)
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)]
+    bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    fp = int(np.packbits((2 * bits > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    assert simhash.fingerprints(df).where("doc_id = 0").first()["fp"] % 2**64 == fp
+    n = {r["doc_id"]: r["n_tokens"] for r in repair.read(repair.write(df)).collect()}
+    p = {r["doc_id"]: r["n"] for r in packing.pieces(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert n == p and n[0] > 2_000_000 and n[2] > n[0]
+    assert lm.language_model_scores(df).where("doc_id = 0").first()["n_tokens"] == 1_000_001
+    assert mixing.mix(df).where("doc_id = 2").first()["size"] == 1_000_001
+
+
 def test_document_by_id(docs):
     e = encoder(default_vocabulary()).library
     table = repair.write(docs, block_ids=20_000, shards=3)
