@@ -30,7 +30,7 @@ class Encoder:
     """Keeps the ids of distinct chunks between calls, up to ``cache`` bytes: those seen first, which the most
     frequent ones are among. Results do not depend on it."""
 
-    def __init__(self, path: str, cache: int = 6 << 20):
+    def __init__(self, path: str, cache: int = 12 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
