@@ -33,6 +33,7 @@ from foliowash.llm.tokens import default_vocabulary, encoder
 
 _HEAD = struct.Struct("<4sI5Q")
 _HASH_BITS = 20
+CACHE = 64 << 20  # bytes of encoded chunks that a worker keeps: this job has the memory, and little CPU time to spare
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, block_ids: int = 2_000
         for batch in batches:
             keys = batch.column(0)
             nulls, values = np.asarray(keys.is_null()), keys.fill_null(0).to_numpy(zero_copy_only=False)
-            for i, j, ids, bounds in encoder(path).runs(batch.column(1)):
+            for i, j, ids, bounds in encoder(path, CACHE).runs(batch.column(1), 8 << 20):
                 k = 0
                 while k < j - i:
                     m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + block_ids - n_held, "right")) - 1)
