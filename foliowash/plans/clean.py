@@ -96,7 +96,7 @@ def clean_page(rgb: np.ndarray, cfg: Config, reader=None, detector=None, classif
     """(cleaned page, decision, page info, warnings)."""
     warnings: list[str] = []
     info = P.PageInfo()
-    if cfg.page_crop:
+    if cfg.crops_page:
         rgb, info = P.crop(rgb, cfg.page_crop_min_area_ratio, cfg.page_crop_deskew_max_deg, skew)
         if info.warning:
             warnings.append(f"page crop: {info.warning}")

@@ -11,6 +11,7 @@ from foliowash.functions import boxes as B
 from foliowash.functions import geometry as G
 from foliowash.functions import pixels as P
 from foliowash.operators import boxes as OB
+from foliowash.operators import detections as D
 from foliowash.operators import evaluate as E
 from foliowash.operators.threshold import otsu
 from foliowash.plans import views as V
@@ -377,6 +378,94 @@ def vector_score(s, d):
     return V.read(s, d, "embeddings").select("vec_id", F.round(1 / (1 + F.exp(-dot)), 6).alias("prob"))
 
 
+# detections and crops --------------------------------------------------------------------------------
+
+_CORNERS = V.BOXES + """, corners AS (SELECT id, page, score_pct, (x + (w % 4) * 0.25)::DOUBLE AS x1, (x + (w % 4) * 0.25 + (w - 20) * 0.5)::DOUBLE AS x2, (y + (x % 4) * 0.25)::DOUBLE AS y1, (y + (x % 4) * 0.25 + h * 0.75)::DOUBLE AS y2 FROM boxes)"""
+
+
+def _corners(s, d):
+    left, top = c("x") + c("w") % 4 * 0.25, c("y") + c("x") % 4 * 0.25
+    return V.boxes(s, d).select("id", "page", "score_pct", left.alias("x1"), (left + (c("w") - 20) * 0.5).alias("x2"), top.alias("y1"), (top + c("h") * 0.75).alias("y2"))
+
+
+@query("corner_boxes", f"WITH {_CORNERS}, k AS (SELECT id, trunc(x1)::INT AS x, trunc(y1)::INT AS y, trunc(x2 - x1)::INT AS w, trunc(y2 - y1)::INT AS h FROM corners) SELECT * FROM k WHERE w > 0 AND h > 0")
+def corner_boxes(s, d):
+    return D.from_corners(_corners(s, d)).select("id", "x", "y", "w", "h")
+
+
+@query("rounded_boxes", f"WITH {_CORNERS}, k AS (SELECT id, round_even(x1, 0)::INT AS x, round_even(y1, 0)::INT AS y, round_even(x2 - x1, 0)::INT AS w, round_even(y2 - y1, 0)::INT AS h FROM corners) SELECT * FROM k WHERE w > 0 AND h > 0 AND w * h >= 120")
+def rounded_boxes(s, d):
+    return D.from_corners(_corners(s, d), nearest=True, min_area=120).select("id", "x", "y", "w", "h")
+
+
+@query("tile_windows", """WITH p AS (SELECT p_partkey AS page, (90 + p_partkey % 1500)::INT AS w, (80 + p_partkey % 1100)::INT AS h FROM part),
+a AS (SELECT page, w, unnest(range(0, greatest(1, w - 64), 448))::INT AS tx FROM p), b AS (SELECT page, h, unnest(range(0, greatest(1, h - 64), 448))::INT AS ty FROM p)
+SELECT page, tx, ty, least(w, tx + 512) - tx AS tw, least(h, ty + 512) - ty AS th FROM a JOIN b USING (page) WHERE least(w, tx + 512) - tx >= 100 AND least(h, ty + 512) - ty >= 100""")
+def tile_windows(s, d):
+    pages = V.read(s, d, "part").select(c("p_partkey").alias("page"), (c("p_partkey") % 1500 + 90).cast("int").alias("w"), (c("p_partkey") % 1100 + 80).cast("int").alias("h"))
+    return pages.select("page", F.explode(D.windows(c("w"), c("h"), 512, 64)).alias("t")).select("page", "t.*")
+
+
+@query("tile_offsets", f"WITH {_CORNERS}, k AS (SELECT id, trunc(x1 + page % 3 * 448)::INT AS x, trunc(y1 + page % 2 * 448)::INT AS y, trunc(x2 - x1)::INT AS w, trunc(y2 - y1)::INT AS h FROM corners) SELECT * FROM k WHERE w > 0 AND h > 0")
+def tile_offsets(s, d):
+    found = _corners(s, d).withColumn("tx", c("page") % 3 * 448).withColumn("ty", c("page") % 2 * 448)
+    return D.from_corners(D.on_page(found)).select("id", "x", "y", "w", "h")
+
+
+@query("split_rounds", f"""WITH RECURSIVE {V.BOXES}, s AS (SELECT id, 0 AS depth, x, y, w, h FROM boxes UNION ALL
+  SELECT id, depth + 1, CASE WHEN w >= h AND k = 1 THEN x + w // 2 ELSE x END, CASE WHEN w < h AND k = 1 THEN y + h // 2 ELSE y END, CASE WHEN w < h THEN w WHEN k = 0 THEN w // 2 ELSE w - w // 2 END, CASE WHEN w >= h THEN h WHEN k = 0 THEN h // 2 ELSE h - h // 2 END
+  FROM s, (SELECT unnest([0, 1]) AS k) WHERE depth < 3 AND w * h >= 300 AND greatest(w, h) >= 16)
+SELECT id, depth, x, y, w, h FROM s WHERE NOT (depth < 3 AND w * h >= 300 AND greatest(w, h) >= 16)""")
+def split_rounds(s, d):
+    return D.split_again(V.boxes(s, d).select("id", "x", "y", "w", "h"), c("w") * c("h") >= 300, 3).select("id", "depth", "x", "y", "w", "h")
+
+
+@query("crop_names", f"WITH {V.BOXES} SELECT id, concat('page', page, '_', x, '_', y, '_d', w % 3, '.png') AS name FROM boxes")
+def crop_names(s, d):
+    b = V.boxes(s, d).withColumn("stem", F.concat(F.lit("page"), "page")).withColumn("depth", c("w") % 3)
+    return b.select("id", D.crop_name().alias("name"))
+
+
+@query("saved_counts", f"WITH {V.BOXES} SELECT CASE flag WHEN 'R' THEN 'hw' WHEN 'A' THEN 'printed' END AS label, count(*)::BIGINT AS n FROM boxes GROUP BY ALL")
+def saved_counts(s, d):
+    from foliowash.plans.crops import saved_counts as count
+
+    return count(V.boxes(s, d).select(F.when(c("flag") == "R", "hw").when(c("flag") == "A", "printed").alias("label")))
+
+
+# fixed values
+BACKBONES, UNFROZEN = ["resnet18", "resnet50", "mobilenet_v3_small"], ["fc_only", "last_block"]
+MODES, SIZES = ["rgb", "bin3", "bin1"], ["18", "50", "101"]
+
+
+@query("variant_grid", f"SELECT * FROM (SELECT unnest({BACKBONES}) AS backbone), (SELECT unnest({UNFROZEN}) AS unfreeze), (SELECT unnest({MODES}) AS mode), (SELECT unnest({SIZES}) AS depth)")
+def variant_grid(s, d):
+    from foliowash.plans.crops import parameter_grid
+
+    return parameter_grid(s, backbone=BACKBONES, unfreeze=UNFROZEN, mode=MODES, depth=SIZES)
+
+
+_HOLDOUT = """WITH scored AS (SELECT source, quality AS label, (n_chars % 100)::INT AS prob_pct FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT source, thr::INT AS thr, count(*) FILTER (WHERE prob_pct >= thr AND label = 1)::BIGINT AS tp, count(*) FILTER (WHERE prob_pct >= thr AND label = 0)::BIGINT AS fp, count(*) FILTER (WHERE prob_pct < thr AND label = 0)::BIGINT AS tn, count(*) FILTER (WHERE prob_pct < thr AND label = 1)::BIGINT AS fn
+  FROM scored, (SELECT unnest(range(5, 96, 5)) AS thr) GROUP BY ALL),
+m AS (SELECT *, (tp + tn)::DOUBLE / greatest(1, tp + fp + tn + fn) AS a, tp::DOUBLE / greatest(1, tp + fp) AS p, tp::DOUBLE / greatest(1, tp + fn) AS r FROM k),
+f AS (SELECT source, thr, tp, fp, tn, fn, round(a, 9) AS acc, round(p, 9) AS prec, round(r, 9) AS rec, round(1.25::DOUBLE * p * r / greatest(1e-9::DOUBLE, 0.25::DOUBLE * p + r), 9) AS f05 FROM m)
+SELECT *, rank() OVER (ORDER BY f05 DESC, rec DESC)::INT AS rank FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY f05 DESC, rec DESC, thr) = 1)"""
+
+
+@query("holdout_rank", _HOLDOUT)
+def holdout_rank(s, d):
+    t = V.read(s, d, "labels").join(V.read(s, d, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+    return E.ranked(E.holdout(t.select("source", c("quality").alias("label"), (c("n_chars") % 100).cast("int").alias("prob_pct")), by=("source",)))
+
+
+@query("page_summary", f"WITH {V.GRID}, k AS (SELECT page, r > g + 40 AS mask, abs(r - 200) + abs(g - 200) + abs(b - 200) AS diff FROM grid) SELECT page, round(100 * avg(mask::INT), 6) AS coverage_pct, round(coalesce(avg(diff) FILTER (WHERE mask), 0), 6) AS diff_inside FROM k GROUP BY page")
+def page_summary(s, d):
+    away = lambda n: F.abs(c(n) - 200)
+    out = E.page_summary(V.grid(s, d).select("page", (c("r") > c("g") + 40).alias("mask"), (away("r") + away("g") + away("b")).alias("diff")))
+    return out.select("page", F.round("coverage_pct", 6).alias("coverage_pct"), F.round("diff_inside", 6).alias("diff_inside"))
+
+
 # dense kernels: no SQL form; tests hold them against other implementations ---------------------------
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from foliowash import Config, clean
+from foliowash import Config, preset, clean
 from foliowash.plans import backends
 from foliowash.plans.clean import boxes, decide
 from foliowash.sources.pages import encode, from_arrays, read_files, read_images, synthetic_page, write_cleaned
@@ -79,9 +79,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_config_and_backends():
-    assert Config.preset("photo").page_crop and Config().merged(dilate_px=3).dilate_px == 3
+    assert preset("photo").crops_page and preset("upload").crops_page and not preset("scan").crops_page
     with pytest.raises(ValueError):
-        Config.preset("other")
+        preset("other")
     with pytest.raises(ValueError):
         backends.get("other")
     assert backends.spread_classifier([np.zeros((0, 0, 3), np.uint8)]) == [0.0]
