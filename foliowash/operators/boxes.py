@@ -27,18 +27,41 @@ def overlapping(a: DataFrame, b: DataFrame, p: str, q: str) -> DataFrame:
 
 
 def union_coverage(ocr: DataFrame, hw: DataFrame) -> DataFrame:
-    """Exact area of the union of handwriting rectangles within each printed-text box: page, o_id, covered.
+    """Rows of printed-text boxes that a handwriting rectangle meets, with ``covered``: the exact area of the
+    union of those rectangles within the box.
 
-    Rows of pixels between distinct y-edges are swept; in each, running maxima over x give the union's length.
+    Each input is dealt out once, by page. Handwriting is gathered per page as a map of grid cells, in which a
+    box looks up those that it touches; the clipped rectangles stay in its row, where strips between distinct
+    y-edges are swept: in each, the furthest x so far gives the union's length.
     """
-    pairs = overlapping(ocr, hw, "o_", "h_").select(
-        "page", "o_id",
-        F.greatest("o_x", "h_x").alias("x1"), F.least(B.x2("o_"), B.x2("h_")).alias("x2"), F.greatest("o_y", "h_y").alias("y1"), F.least(B.y2("o_"), B.y2("h_")).alias("y2"),
-    )
-    strips = pairs.withColumn("yy", F.explode(F.sequence("y1", F.col("y2") - 1)))
-    before = Window.partitionBy("page", "o_id", "yy").orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max("x2").over(before), F.col("x1"))
-    return strips.withColumn("len", F.greatest(F.lit(0), F.col("x2") - F.greatest(F.col("x1"), reach))).groupBy("page", "o_id").agg(F.sum("len").alias("covered"))
+    key = lambda x, y: F.col(x) * F.lit(1 << 32) + F.col(y)
+    real = lambda p: (F.col(p + "w") > 0) & (F.col(p + "h") > 0)
+    h = hw.where(real("h_")).select("page", "h_x", "h_y", "h_w", "h_h").repartition("page")
+    rect = F.struct(F.col("h_x").alias("x1"), F.col("h_y").alias("y1"), B.x2("h_").alias("x2"), B.y2("h_").alias("y2"))
+    cells = _cells(h, "h_").groupBy("page", key("_cx", "_cy").alias("cell")).agg(F.collect_list(rect).alias("rects"))
+    grids = cells.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("cell", "rects"))).alias("grid"))
+
+    span = lambda a, n: F.sequence(F.floor(F.col(a) / GRID), F.floor((F.col(a) + F.col(n) - 1) / GRID))
+    touched = F.flatten(F.transform(span("o_x", "o_w"), lambda cx: F.transform(span("o_y", "o_h"), lambda cy: cx * F.lit(1 << 32) + cy)))
+    met = F.flatten(F.array_compact(F.transform(touched, lambda k: F.element_at("grid", k))))
+    clipped = F.transform(met, lambda r: F.struct(F.greatest(r["x1"], "o_x").alias("x1"), F.greatest(r["y1"], "o_y").alias("y1"), F.least(r["x2"], B.x2("o_")).alias("x2"), F.least(r["y2"], B.y2("o_")).alias("y2")))
+    clipped = F.sort_array(F.array_distinct(F.filter(clipped, lambda r: (r["x1"] < r["x2"]) & (r["y1"] < r["y2"]))))
+    # explode: computed once, where each use would compute it anew
+    boxes = ocr.where(real("o_")).join(grids, "page").withColumn("_rects", F.explode(F.array(clipped))).where(F.size("_rects") > 0).drop("grid")
+    edges = F.sort_array(F.array_distinct(F.flatten(F.transform("_rects", lambda r: F.array(r["y1"], r["y2"])))))
+    boxes = boxes.withColumn("_edges", F.explode(F.array(edges)))
+
+    def length(top, bottom):
+        add = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["x2"] - F.greatest(r["x1"], a["to"]))).alias("n"), F.greatest(a["to"], r["x2"]).alias("to"))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.col("o_x").cast("int").alias("to"))
+        return F.aggregate("_rects", none, lambda a, r: F.when((r["y1"] <= top) & (r["y2"] >= bottom), add(a, r)).otherwise(a), lambda a: a["n"])
+
+    strips = F.sequence(F.lit(0), F.size("_edges") - 2)
+    top, bottom = lambda i: F.get("_edges", i), lambda i: F.get("_edges", i + 1)
+    swept = F.aggregate(strips, F.lit(0).cast("long"), lambda n, i: n + (bottom(i) - top(i)) * length(top(i), bottom(i)))
+    one = F.get("_rects", F.lit(0))
+    alone = ((one["x2"] - one["x1"]) * (one["y2"] - one["y1"])).cast("long")
+    return boxes.withColumn("covered", F.when(F.size("_rects") == 1, alone).otherwise(swept)).drop("_rects", "_edges")
 
 
 def gap_runs(columns: DataFrame, keys: list[str], at: str) -> DataFrame:
