@@ -58,15 +58,16 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id (or other keys, as longs) and fp (the fingerprint's bits as a signed long)."""
+    names = [*keys, "fp"]
 
     def run(batches):
         for batch in batches:
-            fp = fingerprints_of(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = fingerprints_of(batch.column(len(keys)), shingle)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def trie_join(values: np.ndarray, errors: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +206,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERROR
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = minhash.SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates (``minhash``: similarity 0.8 or more): of each component
+def fingerprint_pairs(classes: DataFrame, docs: DataFrame, shingle: int, errors: int = ERRORS) -> DataFrame:
+    """Pairs (a, b) of ids that connect all classes (id, doc_id, row) whose fingerprints are linked: each with
+    the first of its fingerprint, and the trie join's links between those."""
+    of = classes.select("id", "doc_id", "row").join(fingerprints(docs, shingle, ("doc_id", "row")), ["doc_id", "row"])
+    of = write_stage(of.select("id", "fp").distinct(), "class_fingerprints")
+    firsts = write_stage(of.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
+    same = of.join(firsts, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return same.unionByName(links(firsts, errors))
+
+
+def keep_one(docs: DataFrame, shingle: int = minhash.SHINGLE, errors: int = ERRORS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates (similarity of shingle sets 0.8 or more). SimHash
+    fingerprints within ``errors`` bits are paired by the trie join, and the pairs are compared on their whole
+    sets; MinHash bands (``minhash``) add the pairs that differ in more bits. Of each component
     the first row stays, by doc_id and then by a hash of the text, which tells texts of one doc_id apart;
     once if it is repeated. Rows with a null doc_id take no part and stay. All columns are kept, whatever
     their names; of rows equal in doc_id and text that differ elsewhere, any one stays."""
-    kept = minhash.first_of_each(docs, shingle).withColumnRenamed("doc_id", "kept_id")
+    kept = minhash.first_of_each(docs, shingle, lambda classes, rows: fingerprint_pairs(classes, rows, shingle, errors)).withColumnRenamed("doc_id", "kept_id")
     known = F.col("doc_id").isNotNull()
     rows = docs.where(known).select(F.struct(*quoted(docs)).alias("input"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64("text").alias("row"))
     # the kept rows are numbers only: the texts need not be sorted to meet them

@@ -583,3 +583,20 @@ def test_line_dedup_makes_pairs_under_one_key(spark, odd, monkeypatch):
     assert {(r["doc_id"], r["line_no"]) for r in linededup.removed_lines(df).collect()} == brute_lines(df)
     [(far, made)] = joined
     assert far > 100 and made <= 1.5 * far
+
+
+def test_near_dedup_pairs_fingerprints(spark, odd, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    rows = [base, [*base[:-1], "end"], [f"o{k}" for k in range(200)], ["start", *base], []]
+    df = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(rows)], odd.schema)
+    made, pairs = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: made.append(pairs(*a)) or made[-1])
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 2, 4]
+    assert len(made) == 1  # the trie join has its part
+
+    docs = df.where("doc_id <> 4").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    found = simhash.fingerprint_pairs(docs.withColumn("id", F.col("doc_id") + 10), docs, 5, 2).collect()
+    fp = dict(zip(range(5), simhash.fingerprints_of(pa.array([" ".join(t) for t in rows]), 5).tolist(), strict=True))
+    want = {frozenset((i + 10, j + 10)) for i in range(4) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2}
+    low = lambda ps: {frozenset(p) for p in ps}
+    assert want and low((r["a"], r["b"]) for r in found) <= want and {x for p in low((r["a"], r["b"]) for r in found) for x in p} == {x for p in want for x in p}
