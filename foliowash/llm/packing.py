@@ -25,6 +25,8 @@ from foliowash.llm.common import tidy, write_stage
 from foliowash.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 4096
+#: Bytes of text that a Python worker is sent at once; Spark's 10,000 rows are some 30 MB, held more than once on both sides.
+AT_ONCE = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -166,7 +168,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_shard: int = 32768) -> D
     columns = rows.columns
     # numbers that differ for equal rows too, so that no group of them is one shard's
     number = next(n for n in (f"number{k}" for k in range(len(columns) + 1)) if n not in columns)
-    rows = write_stage(rows.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    rows = write_stage(rows.withColumn(number, F.monotonically_increasing_id()), "pieces", spark_sql_execution_arrow_maxBytesPerBatch=str(AT_ONCE))
     count = rows.count()
     shards = max(1, -(-count // per_shard))
 

@@ -87,13 +87,16 @@ class Encoder:
             ids, bounds = self._encode_new(new)
             place[place < 0] = len(self.known) + np.arange(len(new))
             flat, at = np.concatenate([flat, ids]), np.concatenate([at, at[-1] + bounds[1:]])
-            known = pa.concat_arrays([self.known, new])
-            if known.nbytes + flat.nbytes + at.nbytes <= self.cache:
-                self.known, self.ids, self.bounds = known, flat, at
+            if self.known.nbytes + new.nbytes + flat.nbytes + at.nbytes <= self.cache:
+                self.known, self.ids, self.bounds = pa.concat_arrays([self.known, new]), flat, at
         place = place[code]
         size = at[place + 1] - at[place]
         total = np.concatenate([[0], np.cumsum(size)])
-        out = flat[np.arange(total[-1]) + np.repeat(at[place] - total[:-1], size)]
+        narrow = np.int32 if max(len(flat), total[-1]) < 1 << 31 else np.int64
+        take = np.repeat((at[place] - total[:-1]).astype(narrow), size)
+        take += np.arange(total[-1], dtype=narrow)
+        out = flat[take]
+        del take
         bounds = total[first - first[0]]
         if end_id is not None:
             out = np.insert(out, bounds[1:], np.uint32(end_id))

@@ -600,3 +600,26 @@ def test_near_dedup_pairs_fingerprints(spark, odd, monkeypatch):
     want = {frozenset((i + 10, j + 10)) for i in range(4) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2}
     low = lambda ps: {frozenset(p) for p in ps}
     assert want and low((r["a"], r["b"]) for r in found) <= want and {x for p in low((r["a"], r["b"]) for r in found) for x in p} == {x for p in want for x in p}
+
+
+def test_pack_sends_texts_in_small_batches(spark, monkeypatch):
+    """A worker gets a few MB of text at once, whatever the number of rows; the session's settings stay."""
+    docs = spark.createDataFrame([(k, "some words " * 2000) for k in range(1500)], "doc_id long, text string").coalesce(1).cache()
+    biggest = []
+    write = packing.write_stage
+
+    def seen(df, name, **settings):
+        if name == "pieces":
+            def count(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+            biggest.append(write(docs.mapInArrow(count, "n long"), "sizes", **settings).agg(F.max("n")).first()[0])
+        return write(df, name, **settings)
+
+    monkeypatch.setattr(packing, "write_stage", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = packing.pack_documents(docs)
+    assert out.select("doc_id").distinct().count() == 1500
+    assert 0 < biggest[0] <= 2 * packing.AT_ONCE
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
