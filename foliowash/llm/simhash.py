@@ -70,12 +70,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: tuple[str, ...]
     return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
-def trie_join(values: np.ndarray, errors: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of sorted distinct uint64 values that differ in at most ``errors`` bits.
+def trie_join(values: np.ndarray, errors: int, skip: int = 0, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of sorted distinct uint64 values that differ in at most ``errors`` bits, and in
+    their labels, if there are any.
 
     The first ``skip`` bits are equal in all values. Nodes are ranges of the sorted values.
     """
     n = len(values)
+    # how often the label has changed up to each value: a range of one label has the same number at both ends
+    changes = None if labels is None else np.cumsum(np.concatenate([[0], labels[1:] != labels[:-1]])[:n])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     a_lo, a_hi, b_lo, b_hi = (np.array([x], dtype=np.int64) for x in (0, n, 0, n))
     cost = np.zeros(1, dtype=np.int64)
@@ -92,6 +95,8 @@ def trie_join(values: np.ndarray, errors: int, skip: int = 0) -> tuple[np.ndarra
             keep = ~same[pair] | (i < j)
             i, j = i[keep], j[keep]
             near = np.bitwise_count(values[i] ^ values[j]) <= errors
+            if labels is not None:
+                near &= labels[i] != labels[j]
             found.append((i[near], j[near]))
 
     for bit in range(skip, 64):
@@ -116,6 +121,9 @@ def trie_join(values: np.ndarray, errors: int, skip: int = 0) -> tuple[np.ndarra
         for lo, hi, lo2, hi2, c, ok in parts:
             ok = ok & (lo < hi) & (lo2 < hi2)
             ok &= ~((lo == lo2) & (hi - lo == 1) & (hi2 - lo2 == 1))
+            if changes is not None:
+                lo, hi, lo2, hi2, c = (x[ok] for x in (lo, hi, lo2, hi2, c))
+                ok = (labels[lo] != labels[lo2]) | (changes[lo] != changes[hi - 1]) | (changes[lo2] != changes[hi2 - 1])
             rows.append(tuple(x[ok] for x in (lo, hi, lo2, hi2, c)))
         a_lo, a_hi, b_lo, b_hi, cost = (np.concatenate(x) for x in zip(*rows, strict=True))
     if not found:
@@ -162,7 +170,14 @@ def _permute(values: np.ndarray, order: tuple[int, ...]) -> np.ndarray:
 
 def links(classes: DataFrame, errors: int = ERRORS) -> DataFrame:
     """From (fp, rep), fp distinct: edges (a, b) between reps that connect all fps within ``errors`` bits."""
+    return _joined(classes, errors)
+
+
+def _joined(classes: DataFrame, errors: int) -> DataFrame:
+    """``links``; if ``classes`` has a label, all pairs (a, b) of reps of fps within ``errors`` bits whose labels
+    differ, some of them more than once."""
     plans = _plans(errors)
+    names = [c for c in classes.columns if c != "fp"]
 
     def deal(batches):
         for batch in batches:
@@ -170,17 +185,20 @@ def links(classes: DataFrame, errors: int = ERRORS) -> DataFrame:
             for k, (lead, *order) in enumerate(plans):
                 turned = _permute(fp, tuple(order)) if len(fp) else fp
                 head = (turned >> np.uint64(64 - lead)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(head), pa.array(turned.view(np.int64)), batch.column(1)], names=["plan", "head", "turned", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(head), pa.array(turned.view(np.int64)), *batch.columns[1:]], names=["plan", "head", "turned", *names])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turned", key=lambda s: s.astype(np.int64).to_numpy().view(np.uint64))
         values, reps = pdf["turned"].to_numpy(np.int64).view(np.uint64), pdf["rep"].to_numpy(np.int64)
         group = pdf["plan"].to_numpy(np.int64)
+        labels = pdf["label"].to_numpy(np.int64) if "label" in names else None
         out = []
         for k in np.unique(group):
             mine = np.flatnonzero(group == k)
-            i, j = trie_join(values[mine], errors)
-            if len(i):
+            i, j = trie_join(values[mine], errors, labels=None if labels is None else labels[mine])
+            if labels is not None:
+                out.append(pd.DataFrame({"a": reps[mine[i]], "b": reps[mine[j]]}))
+            elif len(i):
                 r = reps[mine]
                 by = np.argsort(r, kind="stable")
                 back = np.empty(len(by), np.int64)
@@ -190,7 +208,7 @@ def links(classes: DataFrame, errors: int = ERRORS) -> DataFrame:
                 out.append(pd.DataFrame({"a": r[by][far], "b": r[by][label[far]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
-    dealt = classes.mapInArrow(tidy(deal), "plan int, head long, turned long, rep long")
+    dealt = classes.select("fp", *names).mapInArrow(tidy(deal), "plan int, head long, turned long, " + ", ".join(f"{c} long" for c in names))
     # heads that share a bucket are joined in one trie: values of different heads may then link too, which
     # is right as every pair is compared on all its bits
     buckets = max(16, min(100_000, classes.count() * len(plans) // 20_000))
@@ -206,24 +224,55 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERROR
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def fingerprint_pairs(classes: DataFrame, docs: DataFrame, shingle: int, errors: int = ERRORS) -> DataFrame:
-    """Pairs (a, b) of ids that connect all classes (id, doc_id, row) whose fingerprints are linked: each with
-    the first of its fingerprint, and the trie join's links between those."""
-    of = classes.select("id", "doc_id", "row").join(fingerprints(docs, shingle, ("doc_id", "row")), ["doc_id", "row"])
-    of = write_stage(of.select("id", "fp").distinct(), "class_fingerprints")
+def class_fingerprints(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, fp), written, of classes with a row (id, doc_id, row) for each member: texts of one set of shingles
+    have different fingerprints if they repeat some."""
+    of = members.select("id", "doc_id", "row").join(fingerprints(docs, shingle, ("doc_id", "row")), ["doc_id", "row"])
+    return write_stage(of.select("id", "fp").distinct(), "class_fingerprints")
+
+
+def first_pairs(of: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """Pairs (a, b) of ids that connect all classes (id, fp) whose fingerprints are linked: each with the first of
+    its fingerprint, and the trie join's links between those. Far fewer than all such pairs."""
     firsts = write_stage(of.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
     same = of.join(firsts, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return same.unionByName(links(firsts, errors))
 
 
+def fingerprint_pairs(members: DataFrame, docs: DataFrame, shingle: int, errors: int = ERRORS) -> DataFrame:
+    """``first_pairs`` of classes' members (id, doc_id, row)."""
+    return first_pairs(class_fingerprints(members, docs, shingle), errors)
+
+
+def apart_pairs(of: DataFrame, parts: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """All pairs of classes (id, fp) whose fingerprints are linked and which stand in different parts, of
+    (id, n, part): (id, n, other, m). A pair that ``first_pairs`` only connects through a third class, with
+    which neither need be similar, is among them unless similar classes connect it."""
+    nodes = write_stage(of.join(parts, "id"), "nodes")
+    fps = nodes.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    # a fingerprint of several parts has a label of its own: ids of classes are not negative
+    label = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.monotonically_increasing_id())
+    fps = write_stage(fps.select("fp", F.col("fp").alias("rep"), label.alias("label")), "labels")
+    pairs = _joined(fps, errors).unionByName(fps.where("label < 0").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    side = lambda fp, *names: nodes.select(F.col("fp").alias(fp), *[F.col(c).alias(x) for c, x in zip(("id", "n", "part"), names, strict=True)])
+    met = pairs.join(side("a", "id", "n", "part"), "a").join(side("b", "other", "m", "apart"), "b")
+    return met.where("part <> apart AND (a <> b OR id < other)").select("id", "n", "other", "m")
+
+
 def keep_one(docs: DataFrame, shingle: int = minhash.SHINGLE, errors: int = ERRORS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates (similarity of shingle sets 0.8 or more). SimHash
     fingerprints within ``errors`` bits are paired by the trie join, and the pairs are compared on their whole
-    sets; MinHash bands (``minhash``) add the pairs that differ in more bits. Of each component
+    sets: first those that connect each group of fingerprints, then all whose classes are not connected by
+    similar ones. MinHash bands (``minhash``) add the pairs that differ in more bits. Of each component
     the first row stays, by doc_id and then by a hash of the text, which tells texts of one doc_id apart;
     once if it is repeated. Rows with a null doc_id take no part and stay. All columns are kept, whatever
     their names; of rows equal in doc_id and text that differ elsewhere, any one stays."""
-    kept = minhash.first_of_each(docs, shingle, lambda classes, rows: fingerprint_pairs(classes, rows, shingle, errors)).withColumnRenamed("doc_id", "kept_id")
+
+    def candidates(members: DataFrame, rows: DataFrame):
+        of = class_fingerprints(members, rows, shingle)
+        return first_pairs(of, errors), lambda parts: apart_pairs(of, parts, errors)
+
+    kept = minhash.first_of_each(docs, shingle, candidates).withColumnRenamed("doc_id", "kept_id")
     known = F.col("doc_id").isNotNull()
     rows = docs.where(known).select(F.struct(*quoted(docs)).alias("input"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64("text").alias("row"))
     # the kept rows are numbers only: the texts need not be sorted to meet them

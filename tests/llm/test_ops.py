@@ -670,3 +670,31 @@ def test_pack_sends_texts_in_small_batches(spark, monkeypatch):
     assert out.select("doc_id").distinct().count() == 1500
     assert 0 < biggest[0] <= 2 * packing.AT_ONCE
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_near_dedup_compares_all_linked_fingerprints(spark, odd, monkeypatch):
+    """Similar texts are found by their fingerprints if those connect each of them through unlike ones only."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for g in range(12):  # a repeated phrase makes the fingerprints, tails make the sets
+        tail = [f"g{g}t{k}" for k in range(40)]
+        rows += [[f"p{k}" for k in range(7)] * 12 + t for t in (tail, tail[:-1])]
+    rows = [" ".join(rows[k]) for k in rng.permutation(len(rows))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    fp = simhash.fingerprints_of(pa.array(rows), 5).tolist()
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 8 <= len(near) <= 12 and {fp[a] == fp[b] for a, b in near} == {True, False}
+    signatures = simhash.minhash.signatures
+    monkeypatch.setattr(simhash.minhash, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array().cast("array<long>")))
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], odd.schema)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(range(len(rows))) - {max(p) for p in near}
+
+
+def test_trie_join_of_labels():
+    rng = np.random.default_rng(16)
+    base = np.repeat(rng.integers(0, 2**63, 20, dtype=np.uint64), 40)
+    v = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)))
+    for labels in (rng.integers(0, 3, len(v)), (v >> np.uint64(40)).astype(np.int64) % 5, np.zeros(len(v), np.int64), -1 - np.arange(len(v))):
+        i, j = simhash.trie_join(v, 2, labels=labels)
+        want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2 and labels[a] != labels[b]}
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
