@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliowash.llm import hnsw, linededup, lm, mixing, neighbours, packing, quality, repair, simhash, toxicity
+from foliowash.llm import hnsw, linededup, lm, mixing, neighbours, packing, quality, repair, simhash, tokens, toxicity
 from foliowash.llm.bytewords import words
 from foliowash.llm.common import components
 from foliowash.llm.eliasfano import EliasFano
@@ -698,3 +698,18 @@ def test_trie_join_of_labels():
         i, j = simhash.trie_join(v, 2, labels=labels)
         want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2 and labels[a] != labels[b]}
         assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
+
+
+def test_encoder_keeps_letters_and_marks_apart():
+    """Chunks that differ in case or in the marks after them share their letters; ids are the library's."""
+    enc = tokens.Encoder(default_vocabulary())
+    enc.encode(pa.array(["Chicken chicken. CHICKEN, chicken.,"]))
+    assert sorted(enc.known.to_pylist()) == [",", ".", ".,", "chicken"]
+    chars = [chr(c) for c in [*range(0x21, 0x300), 0x301, 0x307, 0x30C, 0x323, 0x345, 0x37E, 0x3A3, 0x3C2, 0x590, 0x1100, 0x1161, 0x1E9E, 0x2019, 0x212A, 0x212B, 0xFB01, 0x1F600] if not 0x7F <= c <= 0xA0]
+    rows = [x for c in chars for x in (c, f"a{c}", f"{c}.", f"A{c}b,", f"J{c}!?", f"x.{c}")]
+    rows += ["it's.", "IT'S!", "don't,", "a1.", "1a.", "<|endoftext|>.", "a<|endoftext|>", "\x01.", "a\x01.", "w" * 3000 + "..", "Éé-éÉ", "İİ.", "a.b.c.", "", " .", "'s.", "s'.", "a`", "`a"]
+    got, bounds = tokens.Encoder(default_vocabulary()).encode(pa.array([*rows, None]), None)
+    for k, x in enumerate(rows):
+        assert got[bounds[k] : bounds[k + 1]].tolist() == enc.library.encode(x, add_special_tokens=False).ids, x
+    whole, _ = tokens.Encoder(default_vocabulary()).encode(pa.array([" ".join(rows)]), None)
+    assert whole.tolist() == enc.library.encode(" ".join(rows), add_special_tokens=False).ids
