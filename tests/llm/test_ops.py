@@ -713,3 +713,20 @@ def test_encoder_keeps_letters_and_marks_apart():
         assert got[bounds[k] : bounds[k + 1]].tolist() == enc.library.encode(x, add_special_tokens=False).ids, x
     whole, _ = tokens.Encoder(default_vocabulary()).encode(pa.array([" ".join(rows)]), None)
     assert whole.tolist() == enc.library.encode(" ".join(rows), add_special_tokens=False).ids
+
+
+def test_near_dedup_takes_all_fingerprints_of_a_set(spark, odd, monkeypatch):
+    """Texts of one set of shingles may have different fingerprints; each of them finds similar texts."""
+    phrase, bits = [f"p{k}" for k in range(7)], lambda a, b: int(a ^ b).bit_count()
+    found = []
+    for g in range(60):
+        tail = [f"g{g}t{k}" for k in range(60)]
+        rows = [" ".join(phrase * n + t) for n, t in ((12, tail), (2, tail), (2, tail[:-1]))]
+        x, y, z = simhash.fingerprints_of(pa.array(rows), 5)
+        if bits(y, z) <= 2 < min(bits(x, y), bits(x, z)):
+            found.append(rows)
+    assert len(found) >= 3
+    signatures = simhash.minhash.signatures
+    monkeypatch.setattr(simhash.minhash, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array().cast("array<long>")))
+    df = spark.createDataFrame([(3 * k + i, t, "en", "s", 0) for k, rows in enumerate(found[:3]) for i, t in enumerate(rows)], odd.schema)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 3, 6]
